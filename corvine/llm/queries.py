@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import html_text, packing, token_file, trie_bpe, url_filter
+from corvine.llm import html_text, packing, token_file, toxicity, trie_bpe, url_filter
 from corvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by trie traversal and decoded again."""
     return trie_bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, with the classifier trained on the labelled rows that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
