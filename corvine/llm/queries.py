@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import html_text, packing, token_file, toxicity, trie_bpe, url_filter
+from corvine.llm import embedding_dups, html_text, packing, token_file, toxicity, trie_bpe, url_filter
 from corvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,26 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, with the classifier trained on the labelled rows that are not held out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9 and its component."""
+    return embedding_dups.link_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+ORACLES["op8_embedding_dups"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL
+), n AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
+    ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.k, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+"""
