@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import embedding_dups, html_text, packing, token_file, toxicity, trie_bpe, url_filter
+from corvine.llm import embedding_dups, html_text, packing, token_file, toxicity, trie_bpe, url_filter, winnowing
 from corvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ SELECT e.vec_id, coalesce(d.k, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.ve
   e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
 """
+
+
+@query
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
