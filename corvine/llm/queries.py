@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import embedding_dups, html_text, packing, token_file, toxicity, trie_bpe, url_filter, winnowing
+from corvine.llm import bag_minhash, embedding_dups, html_text, packing, token_file, toxicity, trie_bpe, url_filter, winnowing
 from corvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document."""
     return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class at weighted Jaccard 0.8 of five-word shingles."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"), 0.8)
