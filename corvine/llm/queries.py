@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import bag_minhash, embedding_dups, html_text, packing, token_file, toxicity, trie_bpe, url_filter, winnowing
+from corvine.llm import bag_minhash, embedding_dups, fuzzy_lines, html_text, packing, token_file, toxicity, trie_bpe, url_filter, winnowing
 from corvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class at weighted Jaccard 0.8 of five-word shingles."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"), 0.8)
+
+
+@query
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat or nearly repeat an earlier one."""
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
