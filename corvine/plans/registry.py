@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
         return function
 
     return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from corvine.plans import search_queries  # noqa: F401
