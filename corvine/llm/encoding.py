@@ -12,13 +12,23 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 
-MAX_PIECES = 600_000
+MAX_PIECES, MAX_UNITS = 800_000, 800_000
 MAX_PIECE_CHARS = 64
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Pieces(dict):
     """Piece -> number; a missing piece is encoded and numbered."""
 
@@ -35,10 +45,16 @@ class _Pieces(dict):
 
 
 class PieceEncoder:
-    """ids of texts as the library gives them with add_special_tokens=False."""
+    """ids of texts as the library gives them with add_special_tokens=False.
+
+    A piece is cut once more into the units that the file's own pattern makes of it, which merge on their own;
+    pieces differ far more than units (``end.\\nNext``, ``word,``), so most new pieces cost lookups only.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,38 +63,68 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.spaceless = "\\s" in json.dumps(config["normalizer"] or "") and config["pre_tokenizer"]["type"] == "Sequence"
+        self.specials = [token["content"] for token in config["added_tokens"]]
+        if self.spaceless:
+            pattern = next(p["pattern"]["Regex"] for p in config["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        else:
+            pattern = public_tokenizers.PATTERN
+        self.units_of = regex.compile(pattern).findall
+        self.letters = byte_alphabet()
+        self.merge = self.tokenizer.model.tokenize
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.pool = np.empty(1 << 16, self.dtype)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.n = 0
+        self.pool = array("H" if np.dtype(self.dtype).itemsize == 2 else "I" if np.dtype(self.dtype).itemsize == 4 else "Q")
+        self.ends = array("q", [0])
         self.risky: set[int] = set()
+        self.units: dict[str, array] = {}
         self.first, self.inner = _Pieces(self, ""), _Pieces(self, "" if self.spaceless else " ")
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def unit(self, unit: str) -> array:
+        """The ids of what merges on its own."""
+        ids = self.units.get(unit)
+        if ids is None:
+            letters = unit.replace(" ", "Ġ") if unit.isascii() and unit.isprintable() else "".join(map(self.letters.__getitem__, unit.encode()))
+            ids = array(self.pool.typecode, [token.id for token in self.merge(letters)])
+            if len(unit) <= MAX_PIECE_CHARS:
+                self.units[unit] = ids
+        return ids
+
+    def piece(self, text: str) -> Sequence[int]:
+        """A piece's ids, from its units where the text is plain (normalised, printable, no special's mark)."""
+        if self.spaceless:
+            if not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "Σ" in text or "İ" in text):
+                return self.library(text)
+            text = text.lower()
+            core = text
+        else:
+            core = text[1:] if text[:1] == " " else text
+        if core.isalpha():
+            return self.unit(text)
+        if core[:-1].isalpha() and core[-1] in ",.":
+            return self.unit(text[:-1]) + self.unit(core[-1])
+        if "<|" in text or not text.replace("\n", "").isprintable():
+            return self.library(text)
+        out = array(self.pool.typecode)
+        for unit in self.units_of(text):
+            out += self.unit(unit)
+        return out
+
     def add(self, piece: str) -> int:
-        ids = self.library(piece)
-        at = self.ends[self.n]
-        end = at + len(ids)
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), self.dtype)])
-        self.pool[at:end] = ids
-        self.n += 1
-        if self.n + 1 >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.ends[self.n] = end
-        return self.n - 1
+        self.pool.extend(self.piece(piece))
+        self.ends.append(len(self.pool))
+        return len(self.ends) - 2
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids; empty for null and ''."""
         if not text:
             return np.empty(0, self.dtype)
-        if self.n > MAX_PIECES:
+        if len(self.ends) > MAX_PIECES or len(self.units) > MAX_UNITS:
             self.clear()
         if self.spaceless:
             pieces = text.replace("\n", " ").split(" ")
@@ -89,10 +135,11 @@ class PieceEncoder:
             numbers[0] = self.first[pieces[0]]
             if self.risky and not self.risky.isdisjoint(numbers[1:].tolist()):
                 return np.asarray(self.library(text), self.dtype)
-        starts = self.ends[numbers]
-        lengths = self.ends[numbers + 1] - starts
+        ends = np.frombuffer(self.ends, np.int64)
+        starts = ends[numbers]
+        lengths = ends[numbers + 1] - starts
         done = np.cumsum(lengths)
-        return self.pool[np.repeat(starts - done + lengths, lengths) + np.arange(done[-1])]
+        return np.frombuffer(self.pool, self.dtype)[np.repeat(starts - done + lengths, lengths) + np.arange(done[-1])] if done[-1] else np.empty(0, self.dtype)
 
 
 _encoders: dict[str, PieceEncoder] = {}
