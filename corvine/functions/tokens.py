@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{Mn}\p{Nd}\p{Pc}.\-]+"
 SEPARATORS = r"[_.\-]+"
+CUT = r"[_.\-]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 HUMPS = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
@@ -21,10 +22,12 @@ def words(text: Column) -> Column:
 
 
 def components(word: Column) -> Column:
-    """Distinct lower-cased parts of a word, cut at separators and at humps, of at least two characters."""
-    parts = F.filter(F.split(word, SEPARATORS), lambda p: F.length(p) >= 2)
-    humps = F.flatten(F.transform(parts, lambda p: F.split(p, HUMPS)))
-    return F.array_distinct(F.transform(F.filter(humps, lambda p: F.length(p) >= 2), lambda p: F.lower(p)))
+    """Distinct lower-cased parts of a word, cut at separators and at humps, of at least two characters.
+
+    Cuts become spaces by a replacement, whose pattern Spark compiles once a task; ``split`` would compile it a word.
+    """
+    parts = F.split(F.regexp_replace(word, f"{SEPARATORS}|{HUMPS}", " "), " ")
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.length(p) >= 2), lambda p: F.lower(p)))
 
 
 def identifier_tokens(text: Column) -> Column:
@@ -39,6 +42,8 @@ def identifier_tokens(text: Column) -> Column:
             rest = F.transform(F.filter(parts, lambda p: p != whole), lambda p: F.struct(p.alias("term"), F.lit(False).alias("is_whole_identifier")))
             return F.concat(F.array(first), rest)
 
-        return once(components(word), emit)
+        # most words have neither separator nor hump: they are their own only component
+        plain = F.array(F.struct(whole.alias("term"), F.lit(False).alias("is_whole_identifier")))
+        return F.when(word.rlike(CUT), once(components(word), emit)).otherwise(plain)
 
     return F.flatten(F.transform(words(F.coalesce(text, F.lit(""))), of))
