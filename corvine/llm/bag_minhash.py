@@ -14,14 +14,15 @@ Then, without ever listing the pairs of a bucket:
 
 1. every member is compared with its bucket's least one: first the signatures (pairs whose estimate is under the
    threshold by four standard errors are dropped), then the texts' multisets exactly. Components follow.
-2. Buckets whose members are still in several components are cut into blocks, and members outside the largest
-   component are compared by signature with the others, block by block, in memory. For every member and every
-   other component the closest few are verified; links that hold join the components. This repeats with more
-   partners each time, until no block has left any candidate out, so every candidate pair is verified or lies
-   within one component: nothing is capped.
+2. Buckets whose members are still in several components are cut into tiles: members outside the bucket's largest
+   component against a block of all members, bounded in documents and in characters. A tile compares signatures in
+   memory and names the documents of candidate pairs (each pair in its first common band alone). Their texts are
+   sent to the tile, which works out the multiset overlap of every candidate pair, many at once by products of
+   incidence matrices, and returns a spanning forest of the links, at most one row a document. So every candidate
+   pair is verified or lies within one component, nothing is capped, and no list of a group's pairs exists.
 
-Texts to verify travel once per pair, beside one copy of the shared text for every ``SALT`` partners, sorted and
-streamed, so a text with very many partners is neither copied to each nor gathered with them.
+In step 1 texts to verify travel once per pair, beside one copy of the shared text for every ``SALT`` partners,
+sorted and streamed, so a text with very many partners is neither copied to each nor gathered with them.
 
 Defined results: null, '' and texts without words link with nothing and stay; texts of fewer than five words have
 one shingle; rows with one key are one document; a null key stays; an empty table gives an empty result.
@@ -39,13 +40,15 @@ from pyspark.sql import functions as F
 
 from corvine.llm.common import saved
 from corvine.llm.components import components
+from corvine.llm.embedding_dups import Forest
 from corvine.llm.encoding import PieceEncoder
 from corvine.llm.toxicity import WORD
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
-SALT, BLOCK = 256, 1024
+SALT, BLOCK, BLOCK_CHARS = 256, 1024, 16 << 20
+SLAB = 4096
 MAX_BROADCAST_ROWS = 1 << 18
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -145,7 +148,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def sign_documents(df: DataFrame, text: str, key: str) -> DataFrame:
-    """doc, digest of the multiset (null without words), signature (16 bits a component), band keys."""
+    """doc, characters, digest of the multiset (null without words), signature (16 bits a component), band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,18 +173,156 @@ def sign_documents(df: DataFrame, text: str, key: str) -> DataFrame:
                     for row, j in enumerate(group):
                         marks[j], bands[j] = short[row].tobytes(), lanes[row]
                     group, held = [], 0
-            yield pd.DataFrame({"doc": batch["doc"], "digest": digest, "marks": marks, "bands": bands})
+            yield pd.DataFrame({"doc": batch["doc"], "chars": batch["__text"].str.len().fillna(0), "digest": digest, "marks": marks, "bands": bands})
 
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text")).where("doc is not null")
-    return rows.mapInPandas(run, "doc long, digest binary, marks binary, bands array<bigint>")
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shares of equal components of two sets of signatures, all against all."""
-    out = np.zeros((len(a), len(b)), np.float32)
-    for column in range(a.shape[1]):
-        out += a[:, column][:, None] == b[:, column]
-    return out / a.shape[1]
+    return rows.mapInPandas(run, "doc long, chars long, digest binary, marks binary, bands array<bigint>")
+
+
+def compared(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """For two sets of signatures, all against all: shares of equal components; which agree in a band before ``band``."""
+    if len(a) * len(b) <= 2048:
+        equal = a[:, None, :] == b
+        return equal.mean(axis=2), equal.reshape(len(a), len(b), BANDS, ROWS)[:, :, :band].all(axis=3).any(axis=2)
+    count, earlier = np.zeros((len(a), len(b)), np.uint8), np.zeros((len(a), len(b)), bool)
+    for group in range(BANDS):
+        whole = None
+        for column in range(group * ROWS, group * ROWS + ROWS):
+            equal = a[:, column][:, None] == b[:, column]
+            count += equal
+            if group < band:
+                whole = equal if whole is None else whole & equal
+        if whole is not None:
+            earlier |= whole
+    return count / M, earlier
+
+
+def candidates_of(tile: pd.DataFrame, least: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """A tile's strays, its members, and which pairs of them are to be verified here."""
+    stray = tile["stray"].to_numpy(bool)
+    a, b = tile[stray], tile[~stray]
+    if not len(a) or not len(b):
+        return a, b, np.zeros((len(a), len(b)), bool)
+    shares, earlier = compared(*(np.frombuffer(b"".join(x["marks"]), "<u2").reshape(-1, M) for x in (a, b)), int(tile["band"].iloc[0]))
+    hub, main = int(tile["hub"].iloc[0]), int(tile["main"].iloc[0])
+    (ra, ca), (rb, cb) = ((x["rep"].to_numpy(np.int64), x["component"].to_numpy(np.int64)) for x in (a, b))
+    # pairs with the hub are verified before; two strays meet twice, and count once
+    wanted = (shares >= least) & ~earlier & (ca[:, None] != cb) & (ra != hub)[:, None] & (rb != hub)
+    return a, b, wanted & ((cb == main) | (ra[:, None] < rb))
+
+
+def expanded(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: each occurrence of a shingle has a key of its own."""
+    keys, counts = bag
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mixed(np.repeat(keys, counts) + nth.astype(np.uint64) * GOLDEN)
+
+
+def similar_pairs(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the wanted pairs of bags overlap enough, by pairs or by products of incidence matrices."""
+    x, y = np.nonzero(wanted)
+    if len(x) <= 4 * (len(a) + len(b)):
+        good = [overlap(a[i], b[j]) >= threshold for i, j in zip(x, y)]
+        out = np.zeros_like(wanted)
+        out[x[good], y[good]] = True
+        return out
+    left, right = [expanded(bag) for bag in a], [expanded(bag) for bag in b]
+    sizes_a, sizes_b = np.array([len(k) for k in left]), np.array([len(k) for k in right])
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = []
+    for side, sizes in ((left, sizes_a), (right, sizes_b)):
+        keys, owner = np.concatenate(side), np.repeat(np.arange(len(side)), sizes)
+        at = np.minimum(np.searchsorted(both, keys), max(0, len(both) - 1))
+        known = both[at] == keys if len(both) else np.zeros(len(keys), bool)
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], owner[known][order]))
+    common = np.zeros(wanted.shape)
+    for start in range(0, len(both), SLAB):
+        parts = []
+        for (at, owner), n in zip(places, wanted.shape):
+            low, high = np.searchsorted(at, [start, start + SLAB])
+            part = np.zeros((n, SLAB), np.float32)
+            part[owner[low:high], at[low:high] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    return wanted & (common / (sizes_a[:, None] + sizes_b - common) >= threshold)
+
+
+TILE = ["bucket", "i", "j"]
+
+
+def tiles_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tiles of a stream sorted by them, each whole."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[TILE].to_numpy()
+        if held and (held[-1][TILE].iloc[-1].to_numpy() != keys[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for low, high in zip(cuts[:-2], cuts[1:-1]):
+            yield pd.concat([*held, batch.iloc[low:high]], ignore_index=True) if held else batch.iloc[low:high]
+            held = []
+        held.append(batch.iloc[cuts[-2] :])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def tile_links(members: DataFrame, joined: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of buckets with several of them."""
+    least = least_estimate(threshold)
+    label = joined.select(F.col("node").alias("rep"), "component")
+    placed = members.where("n > 2").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("chars").alias("w"))
+    split = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component", "w")).alias("top"), F.sum("w").alias("all_w")).where("parts > 1")
+    placed = placed.join(split.select("bucket", F.col("top.component").alias("main"), F.col("top.k").alias("k"), F.col("top.w").alias("w"), "all_w"), "bucket")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_CHARS), F.lit(1)).cast("int")
+    placed = placed.withColumn("rows", blocks(F.col("n") - F.col("k"), F.col("all_w") - F.col("w"))).withColumn("columns", blocks(F.col("n"), F.col("all_w")))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # strays meet every block of members; members meet every block of strays
+    left = placed.where("component <> main").withColumn("i", block("rows")).withColumn("j", every("columns")).withColumn("stray", F.lit(True))
+    right = placed.withColumn("j", block("columns")).withColumn("i", every("rows")).withColumn("stray", F.lit(False))
+    columns = ["bucket", "i", "j", "band", "hub", "main", "rep", "component", "stray"]
+    kinds = "bucket long, i int, j int, band int, hub long, main long, rep long, component long, stray boolean"
+    marks = reps.select("rep", "marks")
+    dealt = left.select(columns).unionAll(right.select(columns)).join(marks, "rep").select(*columns, "marks").repartition(*TILE).sortWithinPartitions(*TILE)
+
+    def involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
+        for tile in tiles_in(batches):
+            a, b, wanted = candidates_of(tile, least)
+            if wanted.any():
+                found += [a[columns][wanted.any(axis=1)], b[columns][wanted.any(axis=0)]]
+                held += len(found[-1]) + len(found[-2])
+                if held > 20_000:
+                    yield pd.concat(found)
+                    found, held = [], 0
+        if found:
+            yield pd.concat(found)
+
+    wanted_rows = saved(dealt.mapInPandas(involved, kinds), "tiles")
+    ids = wanted_rows.select("rep").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
+    own = texts.join(ids.withColumnRenamed("rep", "doc"), "doc").withColumnRenamed("doc", "rep")
+    met = wanted_rows.join(marks, "rep").join(own, "rep").select(*columns, "marks", "text").repartition(*TILE).sortWithinPartitions(*TILE)
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tile in tiles_in(batches):
+            a, b, wanted = candidates_of(tile, least)
+            if wanted.any():
+                good = similar_pairs(*([shingles(t) for t in x["text"]] for x in (a, b)), wanted, threshold)
+                x, y = np.nonzero(good)
+                if len(x):
+                    forest = Forest(len(a) + len(b))
+                    forest.link(x, y + len(a))
+                    names = np.concatenate([a["rep"].to_numpy(np.int64), b["rep"].to_numpy(np.int64)])
+                    use = np.unique(np.concatenate([x, y + len(a)]))
+                    yield pd.DataFrame({"a": names[use], "b": names[forest.root[use]]})
+
+    return met.mapInPandas(linked, "a long, b long").where("a <> b")
 
 
 def least_estimate(threshold: float) -> float:
@@ -221,9 +362,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, text: str = "te
     texts = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc is not null")
     signed = saved(sign_documents(df, text, key), "signed")
     least = least_estimate(threshold)
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
+    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("chars").alias("chars"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     reps = saved(reps, "reps")
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
+    buckets = reps.select("rep", "chars", F.posexplode("bands").alias("band", "bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = saved(buckets.join(hubs, "bucket"), "members")
     marks = reps.select("rep", "marks")
@@ -240,52 +381,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, text: str = "te
     links = saved(verified(close, texts, threshold), "links")
     joined = components(links)
 
-    few = 4
-    while True:
-        label = joined.select(F.col("node").alias("rep"), "component")
-        placed = members.where("n > 2").join(label, "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-        mixed_up = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("main"), F.col("top.k").alias("k"))
-        placed = placed.join(mixed_up, "bucket").join(marks, "rep")
-        block = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / BLOCK)).cast("int")
-        placed = placed.withColumn("strays", F.col("n") - F.col("k"))
-        # strays meet every block of members; members meet every block of strays
-        left = placed.where("component <> main").withColumn("i", block("strays")).withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))))
-        right = placed.withColumn("j", block("n")).withColumn("i", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("strays") / BLOCK) - 1).cast("int"))))
-        columns = ["bucket", "i", "j", "rep", "component", "marks"]
-        tiles = left.select(*columns, F.lit(True).alias("stray")).unionAll(right.select(*columns, F.lit(False).alias("stray")))
-
-        most = few
-
-        def closest(pdf: pd.DataFrame) -> pd.DataFrame:
-            stray = pdf["stray"].to_numpy()
-            a, b = pdf[stray], pdf[~stray]
-            if not len(a) or not len(b):
-                return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cut": np.empty(0, bool)})
-            shares = alike(np.frombuffer(b"".join(a["marks"]), "<u2").reshape(-1, M), np.frombuffer(b"".join(b["marks"]), "<u2").reshape(-1, M))
-            x, y = np.nonzero((shares >= least) & (a["component"].to_numpy()[:, None] != b["component"].to_numpy()))
-            found = pd.DataFrame({"a": a["rep"].to_numpy()[x], "b": b["rep"].to_numpy()[y], "to": b["component"].to_numpy()[y], "share": shares[x, y]})
-            found = found.sort_values(["a", "to", "share", "b"], ascending=[True, True, False, True])
-            nth = found.groupby(["a", "to"]).cumcount()
-            kept = found[nth < most]
-            more = found[nth >= most][["a", "to"]].drop_duplicates().assign(cut=True)
-            kept = kept.merge(more, on=["a", "to"], how="left")
-            return pd.DataFrame({"a": kept["a"], "b": kept["b"], "cut": kept["cut"].notna()})
-
-        candidates = tiles.groupBy("bucket", "i", "j").applyInPandas(closest, "a long, b long, cut boolean")
-        candidates = saved(candidates.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut")), "candidates")
-        # pairs with a bucket's least member were verified before
-        fresh = candidates.join(stars, ["a", "b"], "left_anti")
-        state = candidates.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
-        if not state.n:
-            break
-        new = saved(verified(fresh.select("a", "b"), texts, threshold), "links")
-        if new.head(1):
-            links = saved(links.unionAll(new), "links")
-            joined = components(links)
-        if not state.cut:
-            break
-        few *= 8
+    more = saved(tile_links(members, joined, reps, texts, threshold), "links")
+    if more.head(1):
+        joined = components(links.unionAll(more))
 
     known = signed.join(reps.select("digest", "rep"), "digest", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = known.groupBy("doc").agg(F.min(F.coalesce("component", "rep", "doc")).alias("class_id"))
