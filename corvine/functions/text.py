@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}]"
+# fixed value: the characters that count as punctuation
 PUNCTUATION = r"""[{}();,\[\]<>:.|&!?+\-*/=^%~@#$"'`\\]"""
 
+# fixed values: extensions that are never text, extensions of languages, other text extensions
 BINARY = frozenset(
     "7z avi bin bmp class dll doc docx dylib eot exe gif gz ico jpeg jpg lock mov mp3 mp4 o obj pickle png pptx pyc pyo rar so svg tar ttf wav webp woff woff2 xls xlsx zip".split()
 )

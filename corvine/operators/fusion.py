@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corvine.functions.vectors import dot
 from corvine.operators.lexical import ranked
 
+# fixed values
 RRF_K = 60
 PIN_MARGIN = 0.001
 MAX_DEPTH = 1000

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from corvine.functions.tokens import identifier_tokens
 
+# fixed values
 K1, B = 1.5, 0.75
 BOOST = 3.0
 PIN_DF = 5

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from corvine.plans import search_queries  # noqa: F401
+    from corvine.plans import document_queries, search_queries  # noqa: F401
