@@ -94,8 +94,11 @@ class Model:
     constant: float | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def responses(self, words: np.ndarray) -> np.ndarray:
-        """Every filter's value at every place; ``words`` holds padded texts end to end."""
+    def responses(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Every filter's value at every place; ``words`` holds padded texts end to end, each up to one of ``ends``.
+
+        Places in a text's padding, from where a filter would reach the next text, don't count.
+        """
         places = np.concatenate([words, np.zeros((max(WIDTHS) - 1, PARTS), words.dtype)])
         vectors = self.embedding[places[:, 0]]
         for part in range(1, PARTS):
@@ -109,12 +112,16 @@ class Model:
                 total += rows[k : n + k, at + k]
             out.append(total + self.bias[w])
             at += width
-        return np.concatenate(out, axis=1)
+        values = np.concatenate(out, axis=1)
+        for back in range(1, max(WIDTHS)):
+            values[ends - back] = -np.inf
+        return values
 
     def raw(self, texts: list[np.ndarray]) -> np.ndarray:
         """The logistic layer's input for padded texts."""
-        starts = np.cumsum([0, *map(len, texts[:-1])])
-        pooled = np.maximum(np.maximum.reduceat(self.responses(np.concatenate(texts)), starts, axis=0), 0)
+        ends = np.cumsum([*map(len, texts)])
+        values = self.responses(np.concatenate(texts), ends)
+        pooled = np.maximum(np.maximum.reduceat(values, np.r_[0, ends[:-1]], axis=0), 0)
         return pooled @ self.out + self.shift
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -124,8 +131,8 @@ class Model:
 
 
 def padded(words: np.ndarray) -> np.ndarray:
-    """A text's buckets between zero rows, so that no filter sees two texts."""
-    return np.concatenate([words.astype(np.int32).reshape(-1, PARTS), np.zeros((max(WIDTHS) - 1, PARTS), np.int32)])
+    """A text's buckets before zero rows that a filter's end may reach; a text without words has one zero row more."""
+    return np.concatenate([words.astype(np.int32).reshape(-1, PARTS), np.zeros((max(WIDTHS) - (len(words) > 0), PARTS), np.int32)])
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, seed: int = 7) -> Model:
@@ -161,8 +168,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, seed: in
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             words = np.concatenate([texts[i] for i in chosen])
-            values = model.responses(words)
             ends = np.cumsum([len(texts[i]) for i in chosen])
+            values = model.responses(words, ends)
             winners = np.stack([start + values[start:end].argmax(axis=0) for start, end in zip(np.r_[0, ends[:-1]], ends)])
             columns = np.arange(values.shape[1])
             best = values[winners, columns]
@@ -266,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None, names: tuple[str, str] = ("score", "rejected")) -> DataFrame:
     """``keep`` with the score of each whole text, and whether its language's threshold rejects it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spoken = F.col(language).cast("string") if language else F.lit(None).cast("string")
@@ -287,10 +294,10 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
             scores.append(judge.scores(waiting))
             score = np.concatenate(scores)
             limits = np.array([judge.thresholds.get(x, general) if isinstance(x, str) else general for x in batch.pop("__lang")])
-            yield batch.assign(score=score, rejected=score >= limits)
+            yield batch.assign(**{names[0]: score, names[1]: score >= limits})
 
-    names = "".join(f"`{field.name}` {field.dataType.simpleString()}, " for field in kept)
-    return rows.mapInPandas(run, f"{names}score double, rejected boolean")
+    kinds = "".join(f"`{field.name}` {field.dataType.simpleString()}, " for field in kept)
+    return rows.mapInPandas(run, f"{kinds}{names[0]} double, {names[1]} boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -305,5 +312,5 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     columns = tuple(docs.columns)
     twin = docs.withColumn("__body", F.col("text")).withColumn("__spoken", F.col("lang") if "lang" in columns else F.lit(None).cast("string"))
-    scored = score_texts(twin, model, text="__body", keep=columns, language="__spoken")
-    return scored.where(~F.col("rejected")).select(*columns)
+    scored = score_texts(twin, model, text="__body", keep=columns, language="__spoken", names=("__score", "__rejected"))
+    return scored.where(~F.col("__rejected")).select(*columns)
