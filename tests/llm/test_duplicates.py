@@ -101,6 +101,38 @@ def test_lines_keep_the_first_of_each_group(spark):
     assert fuzzy_lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def edited_lines(rng):
+    """Lines of 1 to 70 words, each with copies that differ in words or letters, as far as similarity 0.8 allows."""
+    parts = ["ka", "lo", "men", "tir", "su", "pra", "vo", "nel", "gi", "ost"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    lines = []
+    for words in (1, 1, 2, 3, 4, 6, 8, 10, 12, 15, 20, 30, 50, 70):
+        base = [word() for _ in range(words)]
+        lines.append(" ".join(base))
+        for changed in (1, 1, 2, 3):
+            copy = list(base)
+            for _ in range(min(changed, words // 5)):
+                copy[rng.randrange(words)] = word()
+            lines.append(" ".join(copy))
+        for share in (0, 0, 0.05, 0.1):
+            copy = list(lines[-5])
+            for _ in range(max(1, int(share * len(copy)))):
+                copy[rng.randrange(len(copy))] = rng.choice("xyzq")
+            lines.append("".join(copy))
+    return lines
+
+
+def test_lines_equal_brute_force(spark):
+    lines = edited_lines(random.Random(7))
+    near = lambda i, j: edits(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
+    alike = lambda i, j: min(len(lines[i]), len(lines[j])) >= 0.8 * max(len(lines[i]), len(lines[j])) - 1e-9 and near(i, j)
+    want = classes(range(len(lines)), alike)
+    assert sum(k != c for k, c in want.items()) > 80
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in fuzzy_lines.dedup_lines(df).collect() if not r.lines_dropped}
+    assert got == {k for k, c in want.items() if k == c}
+
+
 def test_similar_is_the_edit_similarity(spark):
     rng = random.Random(9)
     pairs = [("", ""), ("abc", "abc"), ("a" * 300, "a" * 250)]
