@@ -133,6 +133,17 @@ def test_lines_equal_brute_force(spark):
     assert got == {k for k, c in want.items() if k == c}
 
 
+def test_pipeline_stage_drops_edited_lines(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    lines = edited_lines(random.Random(21))
+    alike = lambda i, j: edits(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
+    want = classes(range(len(lines)), alike)
+    docs = [(d, "\n".join(lines[d : d + 6]), 0) for d in range(0, len(lines), 6)]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string, n_chars int"), "").collect()
+    kept = {d: "\n".join(lines[i] for i in range(d, min(d + 6, len(lines))) if want[i] == i) for d, _, _ in docs}
+    assert {r.doc_id: (r.text, r.n_chars) for r in got} == {d: (t, len(t)) for d, t in kept.items()}
+
+
 def test_similar_is_the_edit_similarity(spark):
     rng = random.Random(9)
     pairs = [("", ""), ("abc", "abc"), ("a" * 300, "a" * 250)]
