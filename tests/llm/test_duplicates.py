@@ -133,6 +133,13 @@ def test_lines_equal_brute_force(spark):
     assert got == {k for k, c in want.items() if k == c}
 
 
+def test_every_one_letter_edit_is_compared(spark):
+    line = "the quick brown fox jumps over the lazy dog near the river bank today"
+    pairs = [(line, line[:i] + c + line[i + 1 :]) for i in range(len(line)) for c in "abcdefghijklmnopqrstuvwxyz" if line[i] != " " and line[i] != c]
+    keys = lambda name: fuzzy_lines.line_keys(fuzzy_lines.F.col(name))
+    assert len(pairs) == 1400 and spark.createDataFrame(pairs, "a string, b string").where(~fuzzy_lines.F.arrays_overlap(keys("a"), keys("b"))).count() == 0
+
+
 def test_pipeline_stage_drops_edited_lines(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     lines = edited_lines(random.Random(21))
