@@ -392,11 +392,20 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, text: str = "te
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, without those that near-duplicate one with a lesser id; of repeated rows one stays."""
-    dropped = near_duplicates(df, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    left = df.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The documents, all columns, without those that near-duplicate one with a lesser id; of repeated rows one stays.
+
+    Rows of one id with different texts are documents of their own, in the order of their texts' hashes.
+    """
     repeated = df.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if not repeated.head(1):
-        return left
-    twice = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(twice)
+        dropped = near_duplicates(df, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+        return df.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
+    marked = df.withColumn("__mark", F.xxhash64("text"))
+    places = marked.where("doc_id is not null").select("doc_id", "__mark").distinct().orderBy("doc_id", "__mark")
+    # ids that rise with doc_id; saved, so that they are the same at every use
+    places = saved(places.withColumn("__n", F.monotonically_increasing_id()), "places")
+    numbered = marked.join(places, ["doc_id", "__mark"], "left")
+    dropped = near_duplicates(numbered, threshold, key="__n").where(~F.col("kept")).select(F.col("__n").alias("__gone"))
+    left = numbered.join(dropped, F.col("__n") == F.col("__gone"), "left_anti")
+    twice = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["__n"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(twice).select(*df.columns)

@@ -56,6 +56,13 @@ def test_near_duplicates_equal_brute_force(spark):
     assert bag_minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    near, far = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near), (2, near), (2, far), (3, far + " more"), (4, "alone"), (4, "apart"), (4, "apart"), (None, near)]
+    kept = bag_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", near), ("2", far), ("4", "alone"), ("4", "apart"), ("None", near)])
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     errors = []
