@@ -409,3 +409,16 @@ def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = numbered.join(dropped, F.col("__n") == F.col("__gone"), "left_anti")
     twice = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["__n"])
     return left.join(repeated, "doc_id", "left_anti").unionByName(twice).select(*df.columns)
+
+
+def one_of_equal_texts(df: DataFrame) -> DataFrame:
+    """The rows without those whose whole text another row with a lesser id has; a null key stays.
+
+    Texts without words link with nothing in ``near_duplicates``; this leaves one of each of them, too.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = df.where("doc_id is not null").select(F.col("doc_id").alias("__doc"), digest.alias("__digest"))
+    least = saved(rows.groupBy("__digest").agg(F.min("__doc").alias("__least"), F.count("*").alias("n")).where("n > 1").select("__digest", "__least"), "equal")
+    least = F.broadcast(least) if least.count() <= MAX_BROADCAST_ROWS else least
+    gone = rows.join(least, "__digest").where("__doc > __least").select("__doc", F.col("__digest").alias("__of")).distinct()
+    return df.join(gone, (F.col("doc_id") == F.col("__doc")) & (digest == F.col("__of")), "left_anti")

@@ -63,6 +63,13 @@ def test_texts_of_one_id_are_documents_of_their_own(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", near), ("2", far), ("4", "alone"), ("4", "apart"), ("None", near)])
 
 
+def test_pipeline_keeps_one_of_equal_wordless_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "***"), (2, ""), (3, "some words here"), (4, None), (5, "***"), (6, ""), (6, "Other text"), (7, "some words here"), (8, "---"), (None, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", "***"), ("2", ""), ("3", "some words here"), ("6", "Other text"), ("8", "---"), ("None", "")])
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     errors = []
