@@ -8,6 +8,7 @@ and query, not the similarity matrix.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,17 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id
 
 
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The same for a stated set of at most ``MAX_BATCH_QUERIES`` queries, block by block."""
-    rows = queries.select("query_id", "vector").limit(MAX_BATCH_QUERIES + 1).collect()
-    if len(rows) > MAX_BATCH_QUERIES:
-        raise ValueError(f"more than {MAX_BATCH_QUERIES} queries in one batch")
+    """The same for any number of queries, in blocks of ``MAX_BATCH_QUERIES``; each block passes over the vectors."""
+    rows = queries.select("query_id", "vector").collect()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    blocks = [rows[at : at + MAX_BATCH_QUERIES] for at in range(0, len(rows), MAX_BATCH_QUERIES)] or [[]]
+    return ranked(reduce(DataFrame.unionAll, [block_candidates(vectors, block, kind, k, id_, vector) for block in blocks]), k)
+
+
+def block_candidates(vectors: DataFrame, rows: list, kind: str, k: int, id_: str, vector: str) -> DataFrame:
+    """(query_id, doc, score) of the best of every Arrow batch for one block of queries."""
     ids = [row.query_id for row in rows]
-    matrix = np.array([row.vector for row in rows], np.float64).reshape(len(rows), -1)
+    matrix = np.array([row.vector for row in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.where(lengths < 1e-12, matrix, matrix / np.maximum(lengths, 1e-300))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -54,6 +60,4 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "
                 at = np.flatnonzero(row >= edge - 1e-6)  # ties stay, the rank decides
                 yield pd.DataFrame({"query_id": names[q], "doc": own[at], "score": row[at]})
 
-    kind = queries.schema["query_id"].dataType.simpleString()
-    candidates = vectors.select(F.col(id_).cast("string").alias("id"), F.col(vector).alias("v")).mapInPandas(best, f"query_id {kind}, doc string, score double")
-    return ranked(candidates, k)
+    return vectors.select(F.col(id_).cast("string").alias("id"), F.col(vector).alias("v")).mapInPandas(best, f"query_id {kind}, doc string, score double")

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from corvine.functions.text import acceptable, snippet
 from corvine.functions.tokens import identifier_tokens
-from corvine.operators import fusion, lexical
+from corvine.operators import dense, fusion, lexical
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,3 +70,13 @@ def test_every_search_query_equals_its_sql(spark):
         columns = [d[0] for d in want.description]
         assert flat(got.columns, map(tuple, got.collect())) == flat(columns, want.fetchall()), name
     assert entry.entry(spark).columns
+
+
+def test_dense_batch_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(dense, "MAX_BATCH_QUERIES", 3)
+    rows = [(i, [float(i % 5 + 1), float(i % 7), float(i % 3)]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows[:8], "query_id long, vector array<double>")
+    one, many = (sorted((r.query_id, r["rank"], str(r.id)) for r in found.collect()) for found in (dense.topk(vectors, queries, 4), dense.topk_batch(vectors, queries, 4)))
+    assert one == many and len(many) == 32
+    assert dense.topk_batch(vectors, queries.limit(0), 4).count() == 0
