@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from corvine.functions.text import trimmed
 
-MAX_CELLS = 4096
+MAX_CUTS = 1024
 
 
 def numbered_lines(text: Column) -> Column:
@@ -25,12 +25,16 @@ def numbered_lines(text: Column) -> Column:
 def numbered(df: DataFrame, order: str, *then: str, name: str = "id") -> DataFrame:
     """Rows numbered from 0 in the order of a non-null integer column (then others), without one task for all.
 
-    The order's range is cut into at most ``MAX_CELLS`` cells; a window numbers each cell's rows, and the count of
-    the rows before it comes from the cells' counts, a table of bounded size.
+    The order is cut at approximate quantiles (``MAX_CUTS`` at most), so outlying values leave the ranges even; a
+    window numbers each range's rows, and the count of the rows before it comes from the ranges' counts.
     """
-    edge = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = max(1, -(-((edge.b or 0) - (edge.a or 0) + 1) // MAX_CELLS))
-    celled = df.withColumn("__cell", F.floor((F.col(order) - F.lit(edge.a or 0)) / width))
+    found = df.agg(F.percentile_approx(order, [i / MAX_CUTS for i in range(1, MAX_CUTS)], 16 * MAX_CUTS)).first()[0]
+    cuts = sorted(set(found or []))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts).bit_length())))])
+    listed = F.split(F.lit(",".join(map(str, cuts)) or "0"), ",").cast("array<bigint>")
+    # how many cuts lie below, by bisection
+    cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(listed, at + step) < F.col(order)), at + step).otherwise(at))
+    celled = df.withColumn("__cell", cell)
     counts = celled.groupBy("__cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("__cell", F.coalesce(before, F.lit(0)).alias("__base"))
