@@ -19,6 +19,7 @@ from corvine.functions.vectors import dot, l2_normalize
 from corvine.operators.lexical import ranked
 
 MAX_BATCH_QUERIES = 10_000
+FEW_QUERIES = 16
 
 
 def scores(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -27,6 +28,11 @@ def scores(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", vector:
     return vectors.crossJoin(unit).select("query_id", F.col(id_).alias("doc"), dot(F.col(vector), F.col("q")).alias("score"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest of each query, by projection for up to ``FEW_QUERIES`` of them and by matrix products for more."""
+    return (topk if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else topk_batch)(vectors, queries, k, id_, vector)
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of the k nearest of each query."""
     return ranked(scores(vectors, queries, id_, vector), k)

@@ -13,6 +13,7 @@ from corvine.operators.lexical import ranked
 RRF_K = 60
 PIN_MARGIN = 0.001
 MAX_DEPTH = 1000
+MAX_BROADCAST_HITS = 1 << 17
 
 
 def fetch_depth(k: int, complexity: int = 32, threshold: float = 0.95, factor: int = 3) -> int:
@@ -51,6 +52,11 @@ def head(hits: DataFrame, k: int) -> DataFrame:
     return hits.where(F.col("rank") <= max(0, k))
 
 
+def few(hits: DataFrame) -> DataFrame:
+    """A hint to broadcast hits that are counted to be few enough."""
+    return F.broadcast(hits) if hits.limit(MAX_BROADCAST_HITS + 1).count() <= MAX_BROADCAST_HITS else hits
+
+
 def suppress_near_duplicates(hits: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.95, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Hits in order, without those as near as ``threshold`` to one kept before; hits without a vector stay.
 
@@ -59,6 +65,8 @@ def suppress_near_duplicates(hits: DataFrame, vectors: DataFrame, k: int, thresh
     if k <= 0 or threshold <= 0 or threshold >= 1:
         return head(hits, k)
     own = vectors.select(F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    # the hits' ids go to the vectors, so only vectors of hits are moved
+    own = own.join(few(hits.select("id").distinct()), "id", "left_semi")
     listed = hits.join(own, "id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "v"))).alias("found"))
     none = F.array().cast(listed.schema["found"].dataType)
 
@@ -73,5 +81,5 @@ def suppress_near_duplicates(hits: DataFrame, vectors: DataFrame, k: int, thresh
 def enrich(hits: DataFrame, passages: DataFrame, columns: list[str], id_: str = "doc_id") -> DataFrame:
     """Hits with columns of their passages; hits without a passage are dropped, ranks stay."""
     own = passages.select(F.col(id_).cast("string").alias("id"), *columns)
-    # hits are k a query: they go to the passages, so no passage text is shuffled
-    return own.join(F.broadcast(hits), "id").select("query_id", "rank", "id", "score", *[c.split(".")[-1] for c in columns])
+    # hits are k a query: if they are few they go to the passages, so no passage text is shuffled
+    return own.join(few(hits), "id").select("query_id", "rank", "id", "score", *[c.split(".")[-1] for c in columns])
