@@ -64,6 +64,12 @@ def opened(spark: SparkSession, root: str, name: str) -> tuple:
     return _cached[root, name]
 
 
+def lexical_index(spark: SparkSession, root: str, name: str) -> str | None:
+    """The folder of an index's stored postings; None for an index written without."""
+    folder = f"{root}/{name}/lexical"
+    return folder if store.exists(spark, f"{folder}/corpus") else None
+
+
 def search(spark: SparkSession, root: str, name: str, query: str, top_k: int = 5, complexity: int = 32, show_metadata: bool = False, dedup_threshold: float = 0.95) -> str:
     """The report of a hybrid search, or ``Error: …``."""
     try:
@@ -71,7 +77,7 @@ def search(spark: SparkSession, root: str, name: str, query: str, top_k: int = 5
         vector = store.EMBEDDERS[manifest.embedding_model.lower()]()([query])[0].tolist()
         asked = spark.createDataFrame([(0, query, vector)], "query_id long, query string, vector array<double>")
         renamed = passages.withColumnRenamed("id", "doc_id")
-        hits = hybrid.hybrid_search(renamed, vectors.withColumnRenamed("id", "vec_id"), asked, top_k, complexity, dedup_threshold)
+        hits = hybrid.hybrid_search(renamed, vectors.withColumnRenamed("id", "vec_id"), asked, top_k, complexity, dedup_threshold, index=lexical_index(spark, root, name))
         rows = hits.join(passages.select("id", "metadata"), "id").orderBy("rank").collect()
     except ValueError as error:
         return f"Error: {error}"

@@ -1,14 +1,15 @@
 """BM25 over identifier-aware tokens.
 
 The index is long-form tables: postings (doc, term, tf), terms (term, df, idf), lengths (doc, dl) and one row of
-corpus statistics. A search without an index explodes only tokens that some query has: the query's terms are
+corpus statistics. ``write_index`` stores postings with their document's length and terms by shards of the term's
+hash; ``scored_by_index`` reads the shards of the query's terms alone. A search without an index explodes only tokens that some query has: the query's terms are
 broadcast (their number is that of the queries' words, and is checked) before anything is shuffled, and the
 lengths come from array sizes without an explode.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +20,7 @@ K1, B = 1.5, 0.75
 BOOST = 3.0
 PIN_DF = 5
 MAX_QUERY_TERMS = 1 << 18
+SHARDS = 256
 
 
 def tokenized(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,11 +69,43 @@ def scored(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str =
     stats = corpus(tokens)
     weights = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     per_query = wanted.join(weights, "term")
+    return weighted(counted, per_query)
+
+
+def weighted(counted: DataFrame, per_query: DataFrame) -> DataFrame:
+    """Scores of documents' terms (doc, term, tf, dl) for queries' terms (query_id, term, flag, df, idf, avgdl)."""
     part = F.col("idf") * F.when(F.col("flag"), BOOST).otherwise(1.0) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     rare = F.col("flag") & (F.col("df") <= PIN_DF)
     return counted.join(per_query, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score"), F.max(rare).alias("pinnable"))
 
 
+def shard(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+
+
+def write_index(docs: DataFrame, folder: str, id_: str = "doc_id", text: str = "text") -> None:
+    """Postings, terms and statistics of a corpus, tokenised once; a common term's postings are several files of its shard."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_).alias("doc"), identifier_tokens(F.col(text)).alias("tokens"))
+    found = rows.select("doc", F.size("tokens").cast("long").alias("dl"), F.explode("tokens.term").alias("term"))
+    counted = found.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    counted.withColumn("shard", shard(F.col("term"))).repartition("shard", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    stored.groupBy("shard", "term").agg(F.count("*").alias("df")).repartition("shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/terms")
+    corpus(rows).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def scored_by_index(spark: SparkSession, folder: str, queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """The same as ``scored`` from a stored index: only the shards of the queries' terms are read, no text is."""
+    wanted = query_terms(queries, query_id, query)
+    distinct = wanted.select("term").distinct().withColumn("shard", shard(F.col("term")))
+    shards = [row.shard for row in distinct.select("shard").distinct().collect()]
+    of = lambda name: spark.read.parquet(f"{folder}/{name}").where(F.col("shard").isin(shards))
+    distinct = F.broadcast(distinct) if distinct.count() <= MAX_QUERY_TERMS else distinct
+    weights = of("terms").join(distinct, ["shard", "term"], "left_semi").crossJoin(F.broadcast(spark.read.parquet(f"{folder}/corpus"))).select("term", "df", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    return weighted(of("postings").join(distinct, ["shard", "term"], "left_semi").select("doc", "term", "tf", "dl"), wanted.join(weights, "term"))
+
+
 def best_first() -> list[Column]:
     """Scores rounded to six places, ties by the id as a string."""
     return [F.round("score", 6).desc(), F.col("id").asc()]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvine.operators import lexical
 from corvine.operators import passages as ops
 
 MANIFEST = "manifest.json"
@@ -89,11 +90,12 @@ def list_indexes(spark: SparkSession, root: str) -> list[str]:
 
 
 def write_passages(spark: SparkSession, root: str, name: str, passages: DataFrame, model_id: str, roots: list[str], force: bool = False) -> bool:
-    """Passages, then the manifest; False and nothing done where an index exists and isn't forced."""
+    """Passages and their lexical index, then the manifest; False and nothing done where an index exists and isn't forced."""
     folder, info = f"{root}/{name}", model(model_id)
     if not force and exists(spark, f"{folder}/{MANIFEST}"):
         return False
     passages.write.mode("overwrite").parquet(f"{folder}/passages")
+    lexical.write_index(spark.read.parquet(f"{folder}/passages"), f"{folder}/lexical", id_="id")
     write_manifest(spark, folder, Manifest(info.id, info.dimensions, roots=roots))
     return True
 

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from corvine.functions.text import acceptable, snippet
 from corvine.functions.tokens import identifier_tokens
-from corvine.operators import dense, fusion, lexical
+from corvine.operators import dense, fusion, lexical, passages
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,3 +80,19 @@ def test_dense_batch_takes_any_number_of_queries(spark, monkeypatch):
     one, many = (sorted((r.query_id, r["rank"], str(r.id)) for r in found.collect()) for found in (dense.topk(vectors, queries, 4), dense.topk_batch(vectors, queries, 4)))
     assert one == many and len(many) == 32
     assert dense.topk_batch(vectors, queries.limit(0), 4).count() == 0
+
+
+def test_stored_index_scores_like_a_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", f"StartEngineNow word{i % 3} " * (i % 4) + "common tail") for i in range(20)] + [("none", None), ("blank", "")], "doc_id string, text string")
+    asked = spark.createDataFrame([(0, "StartEngineNow tail"), (1, "word2"), (2, "absent"), (3, "")], "query_id long, query string")
+    lexical.write_index(docs, str(tmp_path / "index"))
+    rows = lambda found: sorted((r.query_id, r.doc, round(r.score, 9), r.pinnable) for r in found.collect())
+    want = rows(lexical.scored(docs, asked))
+    assert want and rows(lexical.scored_by_index(spark, str(tmp_path / "index"), asked)) == want
+
+
+def test_numbers_stay_even_beside_outliers(spark):
+    df = spark.range(3000).select((F.col("id") % 700).alias("n")).unionAll(spark.range(1).select(F.lit(10**15).alias("n")))
+    found = passages.numbered(df.withColumn("tie", F.monotonically_increasing_id()), "n", "tie").orderBy("id").collect()
+    assert [r.id for r in found] == list(range(3001)) and [r.n for r in found] == sorted(r.n for r in found)
+    assert passages.numbered(df.limit(0), "n").count() == 0
