@@ -7,7 +7,7 @@ shorter than ``K`` words does. Window minima come from doubling spans: a shifted
 ``log2(W)`` times.
 
 ``compare_with_next`` puts each document beside the next one in descending key order in one shuffle of the
-texts: keys are cut into ranges of like counts (a histogram of bounded size on the driver), a range's first
+texts: keys are cut into ranges of like counts (by quantiles, a bounded number on the driver), a range's first
 document is also sent to the range before it, and ``lead`` runs within a range.
 
 Defined results: null is the empty text, with an empty fingerprint; a text without letters and digits is one
@@ -30,7 +30,7 @@ from corvine.llm.common import code_units
 K, W = 5, 8
 PLACE_BITS = 30
 PLACES = (1 << PLACE_BITS) - 1
-MAX_CELLS = 1 << 16
+MAX_CUTS = 1 << 13
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,27 +93,18 @@ def likeness(a: Column, b: Column) -> Column:
 def ranges(df: DataFrame, order: str, n: int) -> tuple[Column, dict[int, int]]:
     """A column that cuts ``order`` (a long) into about n ranges of like counts, and each range's greatest value.
 
-    The driver holds at most ``MAX_CELLS`` counts.
+    The cuts are approximate quantiles, so outlying keys and gaps leave the ranges even; the driver holds n of them.
     """
-    edge = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    if edge.a is None:
+    n = min(n, MAX_CUTS)
+    found = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 32 * n)).first()[0]
+    cuts = sorted(set(found or []))
+    if not cuts:
         return F.lit(0), {}
-    cells = min(MAX_CELLS, 16 * n)
-    width = max(1, -(-(edge.b - edge.a + 1) // cells))
-    cell = F.floor(F.try_divide(F.col(order).cast("decimal(38,0)") - F.lit(edge.a).cast("decimal(38,0)"), F.lit(width).cast("decimal(38,0)"))).cast("int") if edge.b - edge.a >= 1 << 62 else F.floor((F.col(order) - edge.a) / width).cast("int")
-    counts = {row.cell: (row.n, row.top) for row in df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max(order).alias("top")).collect()}
-    goal = max(1, sum(x for x, _ in counts.values()) // n)
-    bucket, held, of_cell, greatest = 0, 0, [], {}
-    for i in range(max(counts) + 1):
-        count, top = counts.get(i, (0, None))
-        if held and held + count > goal * 1.25:
-            bucket, held = bucket + 1, 0
-        held += count
-        of_cell.append(bucket)
-        if top is not None:
-            greatest[bucket] = top
-    table = F.split(F.lit(",".join(map(str, of_cell))), ",").cast("array<int>")
-    return F.element_at(table, cell + 1), greatest
+    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    # how many cuts lie below, by bisection
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(listed, at + step) < F.col(order)), at + step).otherwise(at))
+    return bucket, {row.bucket: row.top for row in df.groupBy(bucket.alias("bucket")).agg(F.max(order).alias("top")).collect()}
 
 
 def compare_with_next(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, w: int = W) -> DataFrame:

@@ -67,3 +67,16 @@ def test_shared_passage_is_caught(spark):
     shared = " ".join(f"s{i}" for i in range(winnowing.W + winnowing.K - 1))
     a, b = brute("alpha beta " + shared + " gamma"), brute("x y z " + shared + " q r s t u v")
     assert a[1] & b[1]
+
+
+def test_ranges_stay_even_beside_outlying_keys(spark):
+    for first, n in ((0, 0), (10**15, 1), (-(10**15), 1), (-(1 << 62), 1), (10**15, 5000)):
+        keys = spark.range(20000).unionAll(spark.range(first, first + n)).select(winnowing.F.col("id").alias("order"))
+        bucket, greatest = winnowing.ranges(keys, "order", 32)
+        counts = [r["count"] for r in keys.groupBy(bucket.alias("b")).count().collect()]
+        assert max(counts) <= 2 * sum(counts) / 32 and len(counts) == len(greatest)
+
+
+def test_one_null_and_one_outlying_key(spark):
+    rows = [(i, f"alpha beta gamma delta word{i} epsilon zeta eta") for i in range(60)] + [(None, "no key at all here"), (10**15, "far away from all others")]
+    assert got(spark, rows) == expected(rows)
