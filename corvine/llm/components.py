@@ -8,10 +8,12 @@ folder and read back, which cuts the lineage and survives lost executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import saved
+from corvine.llm.common import saved as kept
 
 
 def _digest(links: DataFrame) -> tuple[int, int]:
@@ -19,8 +21,8 @@ def _digest(links: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component): for every node with a link to another, the least id that links reach."""
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, saved: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
+    """(node, component): for every node with a link to another, the least id that links reach; rounds go through ``saved``."""
     links = saved(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links")
     before = _digest(links)
     for _ in range(max_rounds if before[0] else 0):

@@ -165,6 +165,26 @@ def test_pipeline_stage_drops_edited_lines(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in got} == {d: (t, len(t)) for d, t in kept.items()}
 
 
+def test_common_phrases_of_unrelated_lines(spark):
+    """Many unrelated lines hold the same phrases; copies among them are found by two of their keys, none is dropped wrongly."""
+    rng = random.Random(12)
+    phrase, other = "queens kept vexing jackdaws beyond the quiz", "wizards just boxed quickly with our gray viking"
+    word = lambda: "".join(rng.choice("aeioulnrstdmpc") for _ in range(7))
+    lines = [" ".join([*(word() for _ in range(9)), phrase, *(word() for _ in range(9)), other, *(word() for _ in range(4))]) for _ in range(40)]
+    lines += [line.replace(line.split()[2], word()) for line in lines[:12]]
+    near = lambda i, j: edits(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
+    want = classes(range(len(lines)), near)
+    got = {r.doc_id for r in fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if not r.lines_dropped}
+    assert got == {k for k, c in want.items() if k == c} == set(range(40))
+
+
+def test_lines_of_null_keys_and_repeated_rows(spark):
+    rows = [(None, "a line of some words to keep\nother line of this text"), (9007199254740993, "a line of some words to keep"), (9007199254740993, "a line of some words to keep"), (9007199254740992, "A line, of some words to keep!\n第一行没有空格的文字在这里写得很长很长很长很长很长很长很长很长很长很长"), (None, None)]
+    got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    first = (9007199254740992, rows[3][1], 0)
+    assert got == sorted([(None, "other line of this text", 1), (9007199254740993, "", 1), (9007199254740993, "", 1), first, (None, None, 0)], key=repr)
+
+
 def test_similar_is_the_edit_similarity(spark):
     rng = random.Random(9)
     pairs = [("", ""), ("abc", "abc"), ("a" * 300, "a" * 250)]
@@ -228,6 +248,10 @@ def test_toxicity_learns_and_handles_gaps(spark):
     assert {1000, 1001} <= left and toxicity.keep_civil(docs, marks).columns == docs.columns
     assert toxicity.classify(docs.limit(0), marks.limit(0)).count() == 0
     assert toxicity.classify(docs, marks.limit(0)).select("score").distinct().count() == 1
+    big = spark.createDataFrame([(None, "calm1"), (9007199254740993, "rude1 calm2"), (9007199254740993, "rude1 calm2"), (2, "calm3 " * 60000)], "doc_id long, text string").coalesce(1)
+    found = toxicity.classify(big, marks).collect()
+    assert sorted(str(r.doc_id) for r in found) == ["2", "9007199254740993", "9007199254740993", "None"] and len({r.score for r in found if r.doc_id and r.doc_id > 2}) == 1
+    assert {r.doc_id for r in toxicity.keep_civil(big.withColumn("__body", toxicity.F.lit(1)), marks).collect()} <= {None, 2, 9007199254740993}
 
 
 def test_scores_do_not_depend_on_neighbours():
