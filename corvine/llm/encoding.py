@@ -10,6 +10,7 @@ space) the whole text goes to the library. Both routes give exactly the library'
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
@@ -36,7 +37,10 @@ class _Pieces(dict):
         self.owner, self.lead = owner, lead
 
     def __missing__(self, piece: str) -> int:
-        number = self.owner.add(self.lead + piece)
+        owner = self.owner
+        owner.pool.extend(owner.piece(self.lead + piece))
+        number = len(owner.ends) - 1
+        owner.ends.append(len(owner.pool))
         if self.lead and (not piece or piece[0].isspace()):
             self.owner.risky.add(number)
         if len(piece) <= MAX_PIECE_CHARS:
@@ -106,8 +110,9 @@ class PieceEncoder:
             core = text[1:] if text[:1] == " " else text
         if core.isalpha():
             return self.unit(text)
-        if core[:-1].isalpha() and core[-1] in ",.":
-            return self.unit(text[:-1]) + self.unit(core[-1])
+        if core and core[-1] in ",." and core[:-1].isalpha():
+            known = self.units.get
+            return (known(text[:-1]) or self.unit(text[:-1])) + (known(core[-1]) or self.unit(core[-1]))
         if "<|" in text or not text.replace("\n", "").isprintable():
             return self.library(text)
         out = array(self.pool.typecode)
@@ -115,11 +120,6 @@ class PieceEncoder:
             out += self.unit(unit)
         return out
 
-    def add(self, piece: str) -> int:
-        self.pool.extend(self.piece(piece))
-        self.ends.append(len(self.pool))
-        return len(self.ends) - 2
-
     def encode(self, text: str | None) -> np.ndarray:
         """The ids; empty for null and ''."""
         if not text:
@@ -142,11 +142,17 @@ class PieceEncoder:
         return np.frombuffer(self.pool, self.dtype)[np.repeat(starts - done + lengths, lengths) + np.arange(done[-1])] if done[-1] else np.empty(0, self.dtype)
 
 
+def rare_collections() -> None:
+    """Look for cycles seldom: encoding makes millions of short-lived objects and caches, but no cycles."""
+    gc.set_threshold(200_000, 50, 100)
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder of a tokenizer file, kept from task to task."""
     if path not in _encoders:
+        rare_collections()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
