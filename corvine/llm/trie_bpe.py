@@ -3,8 +3,9 @@
 The distinct words of a batch of texts are walked as a trie, depth first: words in sorted order share the
 states of their common prefix, and a stack holds the states of the current path. The state of a prefix is the
 last token of its encoding; the encoding itself is that token after the encoding of the prefix without it, so
-every prefix is worked out once, by finding the one token that ends it and may follow the state before it.
-Two tokens may follow one another if merging their text alone gives the two of them; answers are kept.
+a prefix is worked out at most once (when a longer one asks for it), by finding the one token that ends it and may
+follow the state before it. Two tokens may follow one another if no merge across their border comes before the
+merges that make them, which is read off the merge tree; answers are kept.
 
 Normalising (NFC, white space, lower case), splitting and the byte alphabet follow the tokenizer file. The
 result equals the tokenizers library's on the file, specials in the text included, which tests check.
@@ -13,7 +14,7 @@ Memory: words, pairs and pieces are kept in dictionaries of bounded size (``MAX_
 a batch of texts is one Arrow batch. No shuffle.
 
 Defined results: null and '' give no ids and an empty decoded text; repeated rows repeat; very long words are
-walked like others but not kept; other columns are left behind.
+walked like others; a null key stays null; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -23,25 +24,23 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvine.llm.common import slices
+from corvine.llm.encoding import byte_alphabet, rare_collections
+
 MAX_KEPT = 600_000
 MAX_WORD = 64
+NEVER = 1 << 30
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class TrieBpe:
     """Encoder and decoder of one tokenizer file of the word-end kind."""
 
@@ -52,6 +51,12 @@ class TrieBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.made = {left + right: (rank, left, right) for (left, right), rank in self.ranks.items()}
+        # one way to make each token, from tokens made before, as training gives it; else merging is played through
+        early = lambda part, rank: part not in self.made or self.made[part][0] < rank
+        self.ordered = len(self.made) == len(self.ranks) and all(early(left, rank) and early(right, rank) for (left, right), rank in self.ranks.items())
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.wholes: dict[str, bool] = {}
         self.specials = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.longest = max(len(t) - (len(self.suffix) if t.endswith(self.suffix) else 0) for t in self.vocab)
@@ -86,57 +91,91 @@ class TrieBpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def may_follow(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+    def edge(self, token: str, side: int) -> tuple[list[str], list[int]]:
+        """What stands at a token's right (0) or left (1) border as it is made, and the rank that ends each stage."""
+        known = self.edges[side].get(token)
         if known is None:
-            ends = bool(self.suffix) and right.endswith(self.suffix)
-            text = right[: -len(self.suffix)] if ends else right
-            known = self.merged([*left, *self.symbols(text, ends)]) == [left, right]
-            self.pairs[left, right] = known
+            stages, ends, at = [token], [NEVER], token
+            while at in self.made:
+                rank, left, right = self.made[at]
+                at = left if side else right
+                stages.append(at)
+                ends.append(rank)
+            known = self.edges[side][token] = stages[::-1], ends[::-1]
         return known
 
-    def last_token(self, word: str, end: int, states: list[str], ends: bool) -> str:
-        """The token that ends the encoding of ``word[:end]``; ``states[i]`` is that of ``word[:i]``."""
-        vocab, tail = self.vocab, self.suffix if ends else ""
-        for start in range(max(0, end - self.longest), end):
-            token = word[start:end] + tail
-            if token in vocab and (self.follows(states[start], token) if start else self.whole(token)):
-                return token
-        raise ValueError(f"no token ends {word[:end]!r}")
+    def may_follow(self, left: str, right: str) -> bool:
+        """Whether merging the text of two (whole) tokens gives the two of them."""
+        if not self.ordered:
+            ends = bool(self.suffix) and right.endswith(self.suffix)
+            text = right[: -len(self.suffix)] if ends else right
+            return self.merged([*left, *self.symbols(text, ends)]) == [left, right]
+        (lefts, left_ends), (rights, right_ends) = self.edge(left, 0), self.edge(right, 1)
+        i = j = 0
+        while True:
+            rank = self.ranks.get((lefts[i], rights[j]), NEVER)
+            # of equal ranks the leftmost merge comes first
+            if rank < left_ends[i] and rank <= right_ends[j]:
+                return False
+            if left_ends[i] <= right_ends[j]:
+                if left_ends[i] == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def follows(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
-        return self.may_follow(left, right) if known is None else known
+        if known is None:
+            known = self.pairs[left, right] = self.may_follow(left, right)
+        return known
 
     def whole(self, token: str) -> bool:
         """Whether merging a token's text gives the token."""
-        known = self.pairs.get(("", token))
+        known = self.wholes.get(token)
         if known is None:
             ends = bool(self.suffix) and token.endswith(self.suffix) and len(token) > len(self.suffix)
-            known = self.merged(self.symbols(token[: -len(self.suffix)] if ends else token, ends)) == [token]
-            self.pairs["", token] = known
+            known = self.wholes[token] = self.merged(self.symbols(token[: -len(self.suffix)] if ends else token, ends)) == [token]
         return known
 
+    def last_token(self, word: str, end: int, states: list[str | None], ends: bool) -> str:
+        """The token that ends the encoding of ``word[:end]``; ``states[i]`` is that of ``word[:i]``, None if not asked for yet."""
+        vocab, tail = self.vocab, self.suffix if ends else ""
+        for start in range(max(0, end - self.longest), end):
+            token = word[start:end] + tail
+            if token in vocab and self.whole(token):
+                if not start:
+                    return token
+                before = states[start]
+                if before is None:
+                    before = states[start] = self.last_token(word, start, states, False)
+                if self.follows(before, token):
+                    return token
+        raise ValueError(f"no token ends {word[:end]!r}")
+
     # -- the trie ----------------------------------------------------------
     def walk(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct words (over the byte alphabet), by depth-first traversal of their trie."""
         found: dict[str, tuple[int, ...]] = {}
-        states: list[str] = [""]  # the path: states[i] ends the encoding of the first i characters
+        states: list[str | None] = [""]  # the path: states[i] ends the encoding of the first i characters
         size, vocab = len(self.suffix), self.vocab
         before = ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
+            shared = len(commonprefix((before, word)))
             del states[shared + 1 :]
-            for end in range(len(states), len(word)):
-                states.append(self.last_token(word, end, states, False))
+            states += [None] * (len(word) - len(states))
+            if len(word) > MAX_WORD:  # in order, so that asking back never goes deep
+                for end in range(1, len(word)):
+                    if states[end] is None:
+                        states[end] = self.last_token(word, end, states, False)
             token = self.last_token(word, len(word), states, True)
             at, ids = len(word) - len(token) + size, [vocab[token]]
             while at > 0:
-                token = states[at]
-                ids.append(vocab[token])
-                at -= len(token)
+                last = states[at]
+                if last is None:
+                    last = states[at] = self.last_token(word, at, states, False)
+                ids.append(vocab[last])
+                at -= len(last)
             found[word] = tuple(reversed(ids))
             before = word[: len(states) - 1] if len(states) - 1 < len(word) else word
         return found
@@ -156,7 +195,14 @@ class TrieBpe:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = self.white.sub(" ", text).lower()
-        return [w if w.isascii() else "".join(map(self.table.__getitem__, w.encode("utf-8", "surrogatepass"))) for w in self.split.findall(text) if w] if text.isprintable() else ["".join(map(self.table.__getitem__, w.encode())) for w in self.split.findall(text) if w]
+        if text.isalpha():
+            words = [text]
+        elif text[:-1].isalpha() and text[-1] in ",.":
+            words = [text[:-1], text[-1]]
+        else:
+            words = [w for w in self.split.findall(text) if w]
+        # printable ASCII stands for itself in the byte alphabet
+        return [w if w.isascii() and w.isprintable() else "".join(map(self.table.__getitem__, w.encode("utf-8", "surrogatepass"))) for w in words]
 
     def learn(self, texts: list[str]) -> None:
         """Encode the new pieces of a batch of texts."""
@@ -187,40 +233,30 @@ _models: dict[str, TrieBpe] = {}
 
 def trie_bpe(path: str) -> TrieBpe:
     if path not in _models:
+        rare_collections()
         _models[path] = TrieBpe(path)
     return _models[path]
 
 
-def groups(texts: list[str], chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of a list of texts with about so many characters together."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_texts(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", full: bool = False) -> DataFrame:
     """``key`` with n_tokens and the SHA-256 of ids and of the decoded text; with ``full`` also ids and decoded."""
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trie_bpe(path)
         for batch in batches:
-            texts = batch["__text"].tolist()
-            for a, b in groups(texts):
-                done = model.encode_batch(texts[a:b])
-                out = pd.DataFrame({key: batch[key].iloc[a:b]})
-                out["n_tokens"] = [len(ids) // 4 for ids, _ in done]
-                out["ids_sha256"] = [hashlib.sha256(ids).hexdigest() for ids, _ in done]
-                out["decoded_sha256"] = [hashlib.sha256(decoded.encode()).hexdigest() for _, decoded in done]
+            for start, n in slices(batch.column(1)):
+                done = model.encode_batch(batch.column(1).slice(start, n).to_pylist())
+                columns = {
+                    "n_tokens": pa.array([len(ids) // 4 for ids, _ in done], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in done], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(decoded.encode()).hexdigest() for _, decoded in done], pa.string()),
+                }
                 if full:
-                    out["ids"] = [np.frombuffer(ids, "<u4").astype("int32") for ids, _ in done]
-                    out["decoded"] = [decoded for _, decoded in done]
-                yield out
+                    columns["ids"] = pa.array([np.frombuffer(ids, "<u4").astype("int32") for ids, _ in done], pa.list_(pa.int32()))
+                    columns["decoded"] = pa.array([decoded for _, decoded in done], pa.string())
+                # the key stays in Arrow, so nulls and large integers stay what they are
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *columns.values()], [key, *columns])
 
     kind = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)
