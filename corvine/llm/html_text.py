@@ -4,8 +4,8 @@ A page is parsed into a tree; menus, page headers, footers, sidebars, notices, a
 and reader comments are pruned by element and by the words of class, id and role. Every remaining paragraph
 then passes points for its length and its commas to its ancestors (whole to the first, half to the second, a
 third of the level's share beyond), each container's sum is discounted by its link density, and the best
-container is kept with those siblings that score a fifth of it or read like prose; if the best container lies
-in an ``article`` or ``main``, that element is kept instead.
+container is kept with those siblings that score a fifth of it, read like prose or hold headings alone. Inside an
+``article`` paragraphs are pruned by words of adverts and comments only, so a paragraph's own class cuts no text.
 
 The text is the kept blocks in page order, joined by a blank line: character references decoded, white space
 inside a block turned into one space, trimmed. Nothing is cut, however long the page.
@@ -15,7 +15,8 @@ and truncated markup is parsed like a browser does in the common cases (a block
 end tag closes what is open inside it). Repeated rows give repeated results, other columns are left behind.
 The parser uses no recursion and is linear in the page, so deep and very long pages pass.
 
-Runs as one ``mapInPandas`` without a shuffle: memory is one Arrow batch of pages and one page's tree.
+Runs as one ``mapInArrow`` without a shuffle: memory is one Arrow batch of pages and one page's tree; the other columns
+pass through Arrow untouched, so null keys and large integers stay what they are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 WORD = re.compile(r"[a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -57,11 +58,15 @@ ENDS = {
 SCOPE = frozenset("article aside body button caption dialog div fieldset footer form header html main nav section table td th".split())
 PARAGRAPH = frozenset("p pre blockquote li dd dt td th figcaption caption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+OWN = HEADING | frozenset("p pre blockquote li dd dt td th figcaption caption em strong b i a span mark".split())
 
 PRUNED = frozenset("nav footer aside form button select menu dialog head object canvas audio video datalist dir".split())
-#: Words of class, id and role that mark what isn't the article, always or unless a content word stands beside them.
-NEVER = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adbox adslot sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars comment comments commentlist disqus replies cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription paywall share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager navbar navigation sitemap skip login signup signin register widget widgets complementary contentinfo".split()
+#: Words of class, id and role that mark what isn't the article: always; but for the article's own paragraphs; unless a content word stands beside them.
+ALWAYS = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial adbox adslot sponsor sponsored sponsors promo promos promotion banner banners comment comments commentlist disqus replies".split()
+)
+NEVER = ALWAYS | frozenset(
+    "sidebar sidebars cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription paywall share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager navbar navigation sitemap skip login signup signin register widget widgets complementary contentinfo".split()
 )
 UNLESS_CONTENT = frozenset("header masthead footer nav menu menus toolbar tools search top bottom aside meta tags hidden".split())
 CONTENT = frozenset("article post entry content main story text body page".split())
@@ -79,6 +84,8 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
         if name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true":
             return True
         words.update(WORD.findall(value.lower()))
+    if in_article and tag in OWN:
+        return bool(words & ALWAYS)
     return bool(words & NEVER) or bool(words & UNLESS_CONTENT) and not words & CONTENT
 
 
@@ -155,7 +162,8 @@ def blocks_of(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[st
             continue
         attrs = token["attrs"] or token["attrs2"] or ""
         if name in RAW:
-            if not attrs.endswith("/"):
+            # only foreign elements can close themselves; in an unquoted value the slash is the value's
+            if name != "svg" or not attrs.endswith("/") or re.search(r"=[^\s\"']*/$", attrs):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(page, at)
                 at = end.end() if end else size
             continue
@@ -224,22 +232,19 @@ def main_text(page: str | None) -> str:
     for node in range(n - 1, 0, -1):  # children come after their parents
         chars[parents[node]] += chars[node]
         linked[parents[node]] += linked[node]
+    # containers of headings alone, such as an article's header
+    titled = {parents[node] for node, _, _ in blocks if tags[node] in HEADING} - {parents[node] if tags[node] in PARAGRAPH else node for node, _, _ in blocks if tags[node] not in HEADING}
     final = [s * (1 - linked[i] / chars[i]) if chars[i] else 0.0 for i, s in enumerate(score)]
     best = max(range(n), key=lambda i: (final[i], i))
     if final[best] <= 0:
         return ""
     kept = {best}
-    up = best
-    while up >= 0 and tags[up] not in ("article", "main"):
-        up = parents[up]
-    if up >= 0:
-        kept = {up}
-    elif tags[best] not in ("#root", "html", "body"):
+    if tags[best] not in ("#root", "html", "body"):
         least = 0.2 * final[best]
         for node in range(1, n):
             if parents[node] == parents[best] and chars[node]:
                 density = linked[node] / chars[node]
-                if final[node] >= least or tags[node] in PARAGRAPH | HEADING and density < 0.25 and chars[node] > (0 if tags[node] in HEADING else 80):
+                if final[node] >= least or tags[node] in PARAGRAPH | HEADING and density < 0.25 and chars[node] > (0 if tags[node] in HEADING else 80) or node in titled and density < 0.25:
                     kept.add(node)
     inside = [False] * n
     for node in range(n):
@@ -251,10 +256,13 @@ def extract_text(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("pa
     """``keep`` with text (never null) and n_chars, its code points."""
     rows = df.select(*keep, F.col(page).alias("__page"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x if isinstance(x, str) else None) for x in batch.pop("__page")]
-            yield batch.assign(text=texts, n_chars=[len(x) for x in texts])
+            texts = [main_text(page.as_py()) for page in batch.column(len(names))]
+            found = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*names, "text", "n_chars"])
 
-    kept = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema if field.name != "__page")
-    return rows.mapInPandas(run, f"{kept}, text string, n_chars long")
+    kept = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}, text string, n_chars long")
