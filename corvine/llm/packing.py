@@ -24,7 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,20 +103,24 @@ def pieces_of(df: DataFrame, path: str, text: str, key: str, end_id: int, capaci
     """Each document's pieces with their checksum, the task that made them and their number among its equal lengths."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, task, seen = encoder(path), TaskContext.get().partitionId(), Counter()
+        end = np.array([end_id], tool.dtype)
         for batch in batches:
             rows = []
-            for name, words in zip(batch[key], batch["__text"]):
-                ids = np.append(tool.encode(words), np.array([end_id], tool.dtype)).astype("<u4")
+            for at, words in enumerate(batch.column(1)):
+                ids = np.append(tool.encode(words.as_py()), end).astype("<u4")
                 for number, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    rows.append((name, number, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
+                    rows.append((at, number, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
                     seen[len(part)] += 1
-            yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32", "task", "nth"])
+            at, number, start, length, crc, tasks, nth = np.array(rows, np.int64).reshape(-1, 7).T
+            # the key stays in Arrow, so nulls and large integers stay what they are
+            found = [batch.column(0).take(pa.array(at)), number.astype(np.int32), start, length, crc, tasks.astype(np.int32), nth]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], [key, "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return rows.mapInPandas(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return rows.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -130,10 +134,12 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_
     numbered = pieces.join(bases, ["task", "length"]).withColumn("nth", F.col("nth") + F.col("base")).drop("task", "base")
     spots = df.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [key, "piece", "start", "length", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, nth = batch["length"].to_numpy(), batch.pop("nth").to_numpy()
-            sequence, offset = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+            lengths, nth = (batch.column(i).to_numpy() for i in (3, 5))
+            sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
             order = np.argsort(lengths, kind="stable")
             cuts = np.flatnonzero(np.diff(lengths[order])) + 1
             for group in np.split(order, cuts) if len(order) else []:
@@ -143,8 +149,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_
                 inside = nth[group] - row[:, 0]
                 sequence[group] = row[:, 2] + inside // row[:, 1]
                 offset[group] = row[:, 3] + inside % row[:, 1] * length
-            yield batch.assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     kind = df.schema[key].dataType.simpleString()
-    numbered = numbered.select(key, "piece", "start", "length", "ids_crc32", "nth")
-    return numbered.mapInPandas(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    numbered = numbered.select(*columns, "nth")
+    return numbered.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

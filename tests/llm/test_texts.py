@@ -121,3 +121,32 @@ def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>one, two, three words in a paragraph</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_text(df).orderBy("page_id").collect()] == [(1, "u", "one, two, three words in a paragraph", 36), (2, None, "", 0)]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_null_keys_stand_beside_large_ones(spark):
+    """One batch with a null key: the other keys keep every digit; repeated rows repeat."""
+    big, path = 9007199254740993, public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "u", "some text, with words"), (big, "u", "some text, with words"), (big, "u", "some text, with words"), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, text string").coalesce(1)
+    want = sorted(map(str, [None, big, big, 2]))
+    for found in (packing.pack(docs, path), trie_bpe.encode_texts(docs, path), token_file.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")), html_text.extract_text(docs, "text", ("doc_id", "url")), url_filter.judge_urls(docs, RULES, keep=("doc_id",))):
+        assert sorted(str(r.doc_id) for r in found.collect()) == want, found.columns
+
+
+def test_long_words_are_walked_in_order():
+    model = trie_bpe.trie_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoin"[: 2 + n % 5]), size)) for n, size in enumerate([1, 2, 7, 63, 64, 65, 300, 4000] * 12)]
+    text = " ".join(words)
+    (ids, decoded), = model.encode_batch([text])
+    assert model.ordered and (np.frombuffer(ids, "<u4").tolist(), decoded) == library("word_bpe_49k.json", text)
+    pairs = [("th", "e"), ("t", "he"), ("in", "g"), ("i", "ng</w>"), ("a", "a")]
+    model.ordered = False
+    slow = [model.may_follow(*p) for p in pairs]
+    model.ordered = True
+    assert [model.may_follow(*p) for p in pairs] == slow
+
+
+def test_an_articles_own_paragraphs_stay_whatever_their_class():
+    page = '<div class="notice">Closed, today, for all, of us</div><article><h1>T</h1><p class="notice-period social">The notice period, of three months, runs from here on.</p><p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and more, plain words, in it.</p><script src=/js/>var leak=1;</script><p class="ad">Buy, now</p></article>'
+    assert html_text.main_text(page) == "T\n\nThe notice period, of three months, runs from here on.\n\nWith x=2 and more, plain words, in it."
