@@ -7,7 +7,7 @@ score. A score depends on the text alone: labels, language, source and key are n
 Training is bounded: at most ``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other labelled rows, chosen by the hash of
 their key among rows that are not held out (crc32 of the key as text, modulo 4, is 2), with texts of at most
 ``MAX_TRAIN_CHARS`` characters. Everything else covers all rows: every whole text is scored on the executors, in
-one ``mapInPandas`` without a shuffle, with a model of about 4 MB that doesn't grow. Words in too few
+one ``mapInArrow`` without a shuffle, with a model of about 4 MB that doesn't grow. Words in too few
 sampled texts (``MIN_DOCS``, ``MIN_SHARE``) keep a zero embedding, so what was never learnt says nothing.
 
 A fifth of the sample calibrates: a logistic rescaling under the classes' shares among all training rows, then for
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.llm.common import slices
 from corvine.llm.encoding import PieceEncoder
 
 BUCKETS = 1 << 17
@@ -273,31 +274,36 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None, names: tuple[str, str] = ("score", "rejected")) -> DataFrame:
-    """``keep`` with the score of each whole text, and whether its language's threshold rejects it."""
+def judged(model: Model, texts: pa.Array, languages: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a batch's texts, and which of them their language's threshold rejects; few texts are Python's at once."""
+    tool, scores = hasher(), [np.zeros(0)]
+    for start, n in slices(texts):
+        waiting, held = [], 0
+        for words in texts.slice(start, n):
+            waiting.append(padded(tool.encode(words.as_py())))
+            held += len(waiting[-1])
+            if held > 60_000:
+                scores.append(model.scores(waiting))
+                waiting, held = [], 0
+        scores.append(model.scores(waiting))
+    score = np.concatenate(scores)
+    general = model.thresholds.get("", THRESHOLD)
+    spoken = languages.to_pylist() if languages is not None else [None] * len(score)
+    return score, score >= np.array([model.thresholds.get(x, general) if x else general for x in spoken], float)
+
+
+def score_texts(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", language: str | None = None) -> DataFrame:
+    """``key`` with the score of each whole text, and whether its language's threshold rejects it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    spoken = F.col(language).cast("string") if language else F.lit(None).cast("string")
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"), spoken.alias("__lang"))
-    kept = [field for field in rows.schema if field.name not in ("__text", "__lang")]
+    rows = docs.select(F.col(key), F.col(text), F.col(language).cast("string") if language else F.lit(None).cast("string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, judge = hasher(), shared.value
-        general = judge.thresholds.get("", THRESHOLD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, waiting, held = [], [], 0
-            for words in batch.pop("__text"):
-                waiting.append(padded(tool.encode(words)))
-                held += len(waiting[-1])
-                if held > 60_000:
-                    scores.append(judge.scores(waiting))
-                    waiting, held = [], 0
-            scores.append(judge.scores(waiting))
-            score = np.concatenate(scores)
-            limits = np.array([judge.thresholds.get(x, general) if isinstance(x, str) else general for x in batch.pop("__lang")])
-            yield batch.assign(**{names[0]: score, names[1]: score >= limits})
-
-    kinds = "".join(f"`{field.name}` {field.dataType.simpleString()}, " for field in kept)
-    return rows.mapInPandas(run, f"{kinds}{names[0]} double, {names[1]} boolean")
+            score, rejected = judged(shared.value, batch.column(1), batch.column(2))
+            # the key stays in Arrow, so nulls and large integers stay what they are
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(rejected)], [key, "score", "rejected"])
+
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, rejected boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -307,10 +313,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "rejected")
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_civil(docs: DataFrame, labels: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
     """The documents, all columns, without those that their language's threshold rejects."""
-    model = fit(docs, labels)
-    columns = tuple(docs.columns)
-    twin = docs.withColumn("__body", F.col("text")).withColumn("__spoken", F.col("lang") if "lang" in columns else F.lit(None).cast("string"))
-    scored = score_texts(twin, model, text="__body", keep=columns, language="__spoken", names=("__score", "__rejected"))
-    return scored.where(~F.col("__rejected")).select(*columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at, spoken = docs.columns.index(text), docs.columns.index(language) if language in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, rejected = judged(shared.value, batch.column(at), None if spoken is None else batch.column(spoken))
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
