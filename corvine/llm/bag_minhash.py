@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from corvine.llm.common import saved
 from corvine.llm.components import components
 from corvine.llm.embedding_dups import Forest
-from corvine.llm.encoding import PieceEncoder
+from corvine.llm.encoding import PieceEncoder, alone
 from corvine.llm.toxicity import WORD
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -80,7 +80,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     """The distinct shingles (hashes, ascending) and their counts."""
     if not _hashes:
         _hashes.append(WordHashes())
-    words = _hashes[0].encode(text)
+    words = alone(_hashes[0]).encode(text)
     if not len(words):
         return words, np.empty(0, np.int64)
     n = max(1, len(words) - size + 1)

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MAX_PIECES, MAX_UNITS = 800_000, 800_000
+MAX_PIECES, MAX_UNITS = 300_000, 300_000
 MAX_PIECE_CHARS = 64
 
 
@@ -142,6 +142,18 @@ class PieceEncoder:
         return np.frombuffer(self.pool, self.dtype)[np.repeat(starts - done + lengths, lengths) + np.arange(done[-1])] if done[-1] else np.empty(0, self.dtype)
 
 
+_in_use: list[PieceEncoder] = []
+
+
+def alone(tool: PieceEncoder) -> PieceEncoder:
+    """The tool, after the cache of the one that this worker used before is given up: a worker holds one cache at a time."""
+    if not _in_use or _in_use[0] is not tool:
+        for other in _in_use:
+            other.clear()
+        _in_use[:] = [tool]
+    return tool
+
+
 def rare_collections() -> None:
     """Look for cycles seldom: encoding makes millions of short-lived objects and caches, but no cycles."""
     gc.set_threshold(200_000, 50, 100)
@@ -155,4 +167,4 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         rare_collections()
         _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return alone(_encoders[path])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm.common import slices
-from corvine.llm.encoding import PieceEncoder
+from corvine.llm.encoding import PieceEncoder, alone
 
 BUCKETS = 1 << 17
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -74,7 +74,7 @@ _hasher: list[WordHasher] = []
 def hasher() -> WordHasher:
     if not _hasher:
         _hasher.append(WordHasher())
-    return _hasher[0]
+    return alone(_hasher[0])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -320,7 +320,9 @@ def keep_civil(docs: DataFrame, labels: DataFrame, text: str = "text", language:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, rejected = judged(shared.value, batch.column(at), None if spoken is None else batch.column(spoken))
-            yield batch.filter(pa.array(~rejected))
+            for start, n in slices(batch.column(at)):
+                part = batch.slice(start, n)
+                _, rejected = judged(shared.value, part.column(at), None if spoken is None else part.column(spoken))
+                yield part.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)
