@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,15 +235,18 @@ def chunk_table(df: DataFrame, chunker, keys: tuple[str, ...] = ("doc_id",), tex
     """``keys``, chunk_ord and text of each chunk; ``chunker(text, *more columns)``. A null text has no chunks."""
     rows = df.select(*[F.col(k) for k in keys], F.col(text).alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(more)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            extra = [batch[f"__{i}"].tolist() for i in range(len(more))]
-            found = [chunker(t, *[c[n] for c in extra]) if isinstance(t, str) else [] for n, t in enumerate(batch["__text"])]
-            part = batch[list(keys)].assign(text=found, chunk_ord=[list(range(len(x))) for x in found])
-            yield part[part["text"].map(len) > 0].explode(["text", "chunk_ord"]).astype({"chunk_ord": "int32"})[[*keys, "chunk_ord", "text"]]
+            extra = [column.to_pylist() for column in batch.columns[len(keys) + 1 :]]
+            found = [chunker(t, *[c[n] for c in extra]) if t is not None else [] for n, t in enumerate(batch.column(len(keys)).to_pylist())]
+            at = pa.array([n for n, own in enumerate(found) for _ in own], pa.int32())
+            # keys stay in Arrow, so nulls and large integers stay what they are
+            kept = [batch.column(i).take(at) for i in range(len(keys))]
+            order, chunks = pa.array([i for own in found for i in range(len(own))], pa.int32()), pa.array([chunk for own in found for chunk in own], pa.string())
+            yield pa.RecordBatch.from_arrays([*kept, order, chunks], [*keys, "chunk_ord", "text"])
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInPandas(run, f"{kinds}, chunk_ord int, text string")
+    return rows.mapInArrow(run, f"{kinds}, chunk_ord int, text string")
 
 
 def chunk_documents(df: DataFrame, options: Options = Options()) -> DataFrame:

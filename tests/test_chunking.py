@@ -63,3 +63,9 @@ def test_route_and_table(spark):
     df = spark.createDataFrame(rows, "doc_ord long, content string, language string, is_code boolean")
     got = sorted((r.doc_ord, r.chunk_ord, r.text) for r in c.chunk_documents(df).collect())
     assert [g[:2] for g in got] == [(0, 0), (0, 1), (1, 0), (2, 0), (4, 0)] and got[2][2] == "1|x = 1"
+
+
+def test_null_keys_stand_beside_large_ones(spark):
+    rows = [(None, "Some words to cut. More words."), (9007199254740993, "Some words to cut."), (1, None)]
+    found = c.chunk_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), lambda t: t.split(". "))
+    assert sorted((str(r.doc_id), r.chunk_ord, r.text) for r in found.collect()) == [("9007199254740993", 0, "Some words to cut."), ("None", 0, "Some words to cut"), ("None", 1, "More words.")]
