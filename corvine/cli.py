@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvine.functions.text import acceptable, trimmed
 from corvine.operators import hybrid, passages as ops
 from corvine.operators.chunking import Options, chunk_documents
+from corvine.operators.pages import chunk_pages
 from corvine.sources import files, index_store as store
 
 
@@ -43,10 +44,19 @@ def build_passages(spark: SparkSession, root: str, name: str, docs: list[str], m
     paths = files.scan_files(spark, docs, whitelist, hidden, excludes)
     if not paths.head(1):
         raise ValueError("no documents were found")
-    sources = files.read_text(paths)
+    paged = files.paged(F.col("absolute_path"))
+    sources = files.read_text(paths.where(~paged))
+    named = lambda df: df.select("doc_ord", F.struct("file_path", "file_name", "source_type", "creation_date", "last_modified_date").alias("f"))
     chunks = chunk_documents(sources, options).where((trimmed(F.col("text")) != "") & acceptable(F.col("text")))
-    facts = sources.select("doc_ord", ops.metadata(F.col("file_path"), F.col("file_name"), F.col("source_type"), F.col("creation_date"), F.col("last_modified_date")).alias("metadata"))
-    passages = ops.assign_ids(chunks).join(facts, "doc_ord").select("id", "text", "metadata")
+    chunks = chunks.select("doc_ord", F.lit(None).cast("int").alias("page_no"), "chunk_ord", "text", F.lit(None).cast("string").alias("heading"))
+    facts = named(sources.drop("content"))
+    if files.PAGE_READERS:
+        pages = chunk_pages(files.read_pages(paths.where(paged)), None, options.page_size, options.page_overlap)
+        chunks = chunks.unionByName(pages.select(F.col("doc").alias("doc_ord"), "page_no", "chunk_ord", "text", "heading"))
+        facts = facts.unionAll(named(files.named(paths.where(paged))))
+    numbered = ops.assign_ids(chunks.join(facts, "doc_ord"), "doc_ord", "page_no", "chunk_ord")
+    about = ops.metadata(*[F.col(f"f.{x}") for x in ("file_path", "file_name", "source_type", "creation_date", "last_modified_date")], *([F.col("page_no"), F.col("heading")] if files.PAGE_READERS else []))
+    passages = numbered.select("id", "text", about.alias("metadata"))
     return store.write_passages(spark, root, name, passages, model_id, [os.path.abspath(d) for d in docs], force)
 
 
@@ -173,7 +183,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> str:
 
         def rebuild(repo: dict) -> None:
             options = watch.repo_options(repo)
-            build_passages(spark, given.root, repo["indexname"], options["roots"], "hashing-64", whitelist=options["file_types"], excludes=options["excludes"], force=True)
+            build_passages(spark, given.root, repo["indexname"], options["roots"], "hashing-64", options["options"], options["file_types"], excludes=options["excludes"], force=True)
             store.build_embeddings(spark, given.root, repo["indexname"], True)
 
         watch.watch_repos(config["repos"], rebuild, given.interval if given.interval > 0 else int(config.get("intervalseconds", 300)), given.force)

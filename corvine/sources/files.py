@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions.text import BINARY, LANGUAGES, PROSE
@@ -28,8 +28,8 @@ def extension_of(name: str) -> str:
 def wanted(name: str, whitelist: set[str] | None = None) -> bool:
     """By extension: not a binary kind, and a listed or known one."""
     kind = extension_of(name)
-    kept = {x.lower().lstrip(".") for x in whitelist} if whitelist is not None else {*LANGUAGES, *PROSE}
-    return kind not in BINARY and kind in kept
+    kept = {x.lower().lstrip(".") for x in whitelist} if whitelist is not None else {*LANGUAGES, *PROSE, *PAGE_READERS}
+    return (kind in PAGE_READERS or kind not in BINARY) and kind in kept
 
 
 def walk(root: str, whitelist: set[str] | None = None, hidden: bool = False, excludes: tuple[str, ...] = ()) -> Iterator[str]:
@@ -83,7 +83,7 @@ def scan_files(spark: SparkSession, roots: list[str], whitelist: set[str] | None
     return spark.createDataFrame(rows, PATHS)
 
 
-#: Readers of pages by extension: bytes of a file to a list of page texts, or None if it can't be read.
+#: Readers of pages by extension (lower case, without the dot): bytes of a file to a list of page texts, or None if it can't be read.
 PAGE_READERS: dict[str, Callable[[bytes], list[str] | None]] = {}
 
 
@@ -110,6 +110,16 @@ def read_text(paths: DataFrame, partitions: int | None = None) -> DataFrame:
     return read.select("*", name.alias("file_name"), kind.alias("language"), kind.isNotNull().alias("is_code"), F.lit("text").alias("source_type"))
 
 
+def paged(path: Column) -> Column:
+    """Whether a path's extension has a reader of pages."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(list(PAGE_READERS)) if PAGE_READERS else F.lit(False)
+
+
+def named(paths: DataFrame) -> DataFrame:
+    """Paths with the file's name and, as the kind of source, its extension without the dot."""
+    return paths.select("*", F.regexp_extract("file_path", r"([^/]*)$", 1).alias("file_name"), F.lower(F.regexp_extract("file_path", r"\.([^./]*)$", 1)).alias("source_type"))
+
+
 def read_pages(paths: DataFrame) -> DataFrame:
     """(doc, page_no, text) of paged files through ``PAGE_READERS``; unreadable files give no pages."""
     readers = dict(PAGE_READERS)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.operators import passages as ops
+from corvine.operators.chunking import Options
 from corvine.sources import index_store as store
 
 
@@ -88,5 +89,8 @@ def watch_repos(repos: list[dict], rebuild: Callable[[dict], None], seconds: int
 
 
 def repo_options(repo: dict) -> dict:
-    """What a repo's configuration says about its files and chunks."""
-    return {"roots": [os.path.abspath(repo["folder"])], "file_types": set(repo.get("filetypes") or []) or None, "excludes": tuple(repo.get("excludepaths") or ())}
+    """What a repo's configuration says about its files and chunks; what it leaves out is as usual."""
+    usual = Options()
+    known = lambda name, default: default if repo.get(name) is None else repo[name]
+    options = Options(code_size=known("codechunksize", usual.code_size), code_overlap=known("codechunkoverlap", usual.code_overlap), use_structure=known("useast", usual.use_structure))
+    return {"roots": [os.path.abspath(repo["folder"])], "file_types": set(repo.get("filetypes") or []) or None, "excludes": tuple(repo.get("excludepaths") or ()), "options": options}

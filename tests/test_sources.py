@@ -99,3 +99,15 @@ def test_numbering_and_embedding(spark):
     rows = spark.createDataFrame([("a", "some words"), ("b", ""), ("c", None)], "id string, text string")
     found = {r.id: r.embedding for r in ops.embed_texts(rows, ops.hashing_embedder(8)).collect()}
     assert abs(sum(x * x for x in found["a"]) - 1) < 1e-6 and set(found["b"]) == set(found["c"]) == {0.0}
+
+
+def test_paged_files_and_repo_options(spark, tmp_path, monkeypatch):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "note.md").write_text("A first sentence that is long enough to pass. A second one follows it here.")
+    (tmp_path / "docs" / "book.pdf").write_bytes(b"\xff\xfeThe first page tells of one thing at some length.|The second page tells of another thing at some length.")
+    monkeypatch.setitem(files.PAGE_READERS, "pdf", lambda raw: raw[2:].decode().split("|"))
+    assert cli.build_passages(spark, str(tmp_path / "root"), "mixed", [str(tmp_path / "docs")], "hashing-64")
+    rows = spark.read.parquet(str(tmp_path / "root" / "mixed" / "passages")).collect()
+    assert {(r.metadata.source_type, r.metadata.page_start) for r in rows} == {("text", None), ("pdf", 1), ("pdf", 2)} and len({r.id for r in rows}) == len(rows)
+    options = watch.repo_options({"folder": "x", "codechunksize": 90, "codechunkoverlap": 0, "useast": False})["options"]
+    assert (options.code_size, options.code_overlap, options.use_structure) == (90, 0, False) and watch.repo_options({"folder": "x"})["options"] == cli.Options()
