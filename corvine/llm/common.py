@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,7 +61,13 @@ class Workspace:
         """The rows written to the folder and read back: cuts lineage and survives lost executors."""
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{what}"
-        df.write.parquet(path)
+        # what was shuffled for these rows is of no use once they are written
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:
