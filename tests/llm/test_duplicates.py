@@ -178,6 +178,21 @@ def test_common_phrases_of_unrelated_lines(spark):
     assert got == {k for k, c in want.items() if k == c} == set(range(40))
 
 
+@pytest.mark.parametrize("strays_a_task", [2048, 7])
+def test_pairs_with_one_common_key_are_compared(spark, monkeypatch, strays_a_task):
+    """Copies with a letter edited in every other word share only the phrase that all lines hold."""
+    monkeypatch.setattr(fuzzy_lines, "STRAYS_A_TASK", strays_a_task)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrstdmpc") for _ in range(6))
+    lines = [" ".join(["xylophones", *(word() for _ in range(6))]) for _ in range(40)]
+    copies = [" ".join(w[0] + "z" + w[2:] if i in (2, 4, 6) else w for i, w in enumerate(line.split())) for line in lines[:25]]
+    keys = lambda name: fuzzy_lines.line_keys(fuzzy_lines.F.col(name))
+    shared = spark.createDataFrame(list(zip(lines, copies)), "a string, b string").select(fuzzy_lines.F.size(fuzzy_lines.F.array_intersect(keys("a"), keys("b"))).alias("n"))
+    assert {r.n for r in shared.collect()} == {1}
+    got = {r.doc_id for r in fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")).collect() if not r.lines_dropped}
+    assert got == set(range(40))
+
+
 def test_lines_of_null_keys_and_repeated_rows(spark):
     rows = [(None, "a line of some words to keep\nother line of this text"), (9007199254740993, "a line of some words to keep"), (9007199254740993, "a line of some words to keep"), (9007199254740992, "A line, of some words to keep!\n第一行没有空格的文字在这里写得很长很长很长很长很长很长很长很长很长很长"), (None, None)]
     got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
