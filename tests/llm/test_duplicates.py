@@ -193,6 +193,18 @@ def test_pairs_with_one_common_key_are_compared(spark, monkeypatch, strays_a_tas
     assert got == set(range(40))
 
 
+def test_pipeline_stage_compares_lines_with_one_common_key(spark):
+    """As above for the stage; each line's copy differs by edited words, and the phrase is all that they share."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioulnrstdmpc") for _ in range(6))
+    lines = [" ".join(["xylophones", *(word() for _ in range(6))]) for _ in range(30)]
+    copies = [" ".join(w[0] + "z" + w[2:] if i in (2, 4, 6) else w for i, w in enumerate(line.split())) for line in lines]
+    docs = [(1, "\n".join(lines)), (2, "\n".join([*copies, "last line of this text"])), (3, None)]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "last line of this text", 3: None}
+
+
 def test_lines_of_null_keys_and_repeated_rows(spark):
     rows = [(None, "a line of some words to keep\nother line of this text"), (9007199254740993, "a line of some words to keep"), (9007199254740993, "a line of some words to keep"), (9007199254740992, "A line, of some words to keep!\n第一行没有空格的文字在这里写得很长很长很长很长很长很长很长很长很长很长"), (None, None)]
     got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
