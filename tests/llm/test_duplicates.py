@@ -226,6 +226,30 @@ def test_similar_is_the_edit_similarity(spark):
         assert r.s == (1 - edits(r.a, r.b) / max(1, len(r.a), len(r.b)) >= 0.8 - 1e-9), (r.a, r.b)
 
 
+def test_similar_of_long_texts(spark):
+    """Edits at the ends, moved pieces and shifts near the limit; texts of few letters are similar by chance."""
+    rng = random.Random(31)
+    pairs = []
+    for n in range(90):
+        a = "".join(rng.choice("ab " if n % 3 else "abcdefgh ") for _ in range(rng.randrange(90, 260)))
+        k, at = rng.randrange(int(0.15 * len(a)), int(0.25 * len(a))), rng.randrange(len(a) // 2)
+        scattered = list(a)
+        for i in rng.sample(range(len(a)), k):
+            scattered[i] = rng.choice(["x", "", "yz"])
+        pairs.append((a, [a[:at] + "x" * k + a[at + k :], a[k:] + "y" * (k // 2), "z" * k + a, a[:at] + a[at + k :], a[k // 2 :] + a[: k // 2], "".join(scattered)][n % 6]))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [(r.s, 1 - edits(r.a, r.b) / max(len(r.a), len(r.b)) >= 0.8 - 1e-9) for r in df.select("a", "b", fuzzy_lines.similar(fuzzy_lines.F.col("a"), fuzzy_lines.F.col("b"), 0.8).alias("s")).collect()]
+    assert all(s == near for s, near in got) and 20 < sum(near for _, near in got) < 80
+
+
+def test_pairs_of_several_buckets_are_compared_once(spark):
+    line = "one line that two documents hold"
+    rows = [(bucket, node, len(line), 9, node, node, 1, 2, [b for b in (5, 6) if b < bucket], line + "." * node, None, None) for bucket in (5, 6) for node in (1, 2)]
+    df = spark.createDataFrame(rows, "bucket long, node long, size int, hub long, component long, now long, main long, strays long, earlier array<long>, norm string, spelt string, words array<short>")
+    links = lambda rows: [(r.a, r.b) for r in fuzzy_lines.stray_links(rows.where("component <> main"), rows, 0.8, True).collect()]
+    assert links(df.where("bucket = 5")) == [(1, 2)] and links(df.where("bucket = 6")) == [] and links(df) == [(1, 2)]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(6, 16))
