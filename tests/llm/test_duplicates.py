@@ -205,6 +205,21 @@ def test_pipeline_stage_compares_lines_with_one_common_key(spark):
     assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "last line of this text", 3: None}
 
 
+def test_pipeline_stage_compares_lines_that_share_few_words(spark):
+    """A letter edited in every word but those of a phrase that all lines hold."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("aeioulnrstdm") for _ in range(7))
+    halves = [([word() for _ in range(14)], [word() for _ in range(14)]) for _ in range(12)]
+    edited = [[[w[:i] + "f" + w[i + 1 :] for w in half for i in [rng.randrange(7)]] for half in both] for both in halves]
+    lines = [" ".join([*a, "kept vexing jackdaws beyond the quiz", *b]) for a, b in [*halves, *edited]]
+    near = lambda i, j: edits(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
+    want = classes(range(len(lines)), near)
+    assert {k for k, c in want.items() if k == c} == set(range(12))
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got if r.text} == set(range(12))
+
+
 def test_lines_of_null_keys_and_repeated_rows(spark):
     rows = [(None, "a line of some words to keep\nother line of this text"), (9007199254740993, "a line of some words to keep"), (9007199254740993, "a line of some words to keep"), (9007199254740992, "A line, of some words to keep!\n第一行没有空格的文字在这里写得很长很长很长很长很长很长很长很长很长很长"), (None, None)]
     got = sorted(((r.doc_id, r.text, r.lines_dropped) for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
