@@ -257,6 +257,30 @@ def test_similar_of_long_texts(spark):
     assert all(s == near for s, near in got) and 20 < sum(near for _, near in got) < 80
 
 
+def test_beats_are_never_further_apart_than_the_texts(spark):
+    """An edit of any character, vowels and spaces too, changes one beat at most; unrelated lines differ in more beats than edits are allowed."""
+    rng = random.Random(23)
+    letters, syllables = "aeé bcdst1第", ["the", "tion", "ou", "qui", "er", "ing", "ma", "ré", "st"]
+    line = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(30))
+    pairs = []
+    for n in range(120):
+        a = line() if n % 2 else "".join(rng.choice(letters) for _ in range(150))
+        b = list(a)
+        for i in rng.sample(range(len(b)), rng.randrange(1, 40)):
+            b[i] = rng.choice([rng.choice(letters), "", rng.choice(letters) + b[i]])
+        pairs.append((a, "".join(b)))
+    pairs += [(line(), line()) for _ in range(60)]
+    col, of = fuzzy_lines.F.col, fuzzy_lines.beats
+    df = spark.createDataFrame([pair for pair in pairs if min(map(len, pair)) >= 100], "a string, b string")
+    given = fuzzy_lines.similar(col("a"), col("b"), 0.8, of(col("a")), of(col("b")))
+    apart, pieces = fuzzy_lines.F.levenshtein(of(col("a")), of(col("b"))), fuzzy_lines.by_pieces(col("a"), col("b"))
+    rows = [(r.s, r.d, r.p, edits(r.a, r.b), max(len(r.a), len(r.b))) for r in df.select("a", "b", given.alias("s"), apart.alias("d"), pieces.alias("p")).collect()]
+    assert len(rows) > 150 and all(d <= true <= p for _, d, p, true, _ in rows)
+    assert all(s == (true <= 0.2 * size + 1e-9) for s, _, _, true, size in rows) and 40 < sum(s for s, *_ in rows) < 140
+    assert sum(d > 0.2 * size for _, d, _, _, size in rows[-60:]) > 30
+    assert spark.createDataFrame([("a" * 99,), (None,)], "a string").where(of(col("a")).isNotNull()).count() == 0
+
+
 def test_pairs_of_several_buckets_are_compared_once(spark):
     line = "one line that two documents hold"
     rows = [(bucket, node, len(line), 9, node, node, 1, 2, [b for b in (5, 6) if b < bucket], line + "." * node, None, None) for bucket in (5, 6) for node in (1, 2)]
