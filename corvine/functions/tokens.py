@@ -37,8 +37,7 @@ def identifier_tokens(text: Column) -> Column:
         whole = F.lower(word)
 
         def emit(parts: Column) -> Column:
-            flag = (F.size(parts) > 0) & ~((F.size(parts) == 1) & (F.try_element_at(parts, F.lit(1)) == whole))
-            first = F.struct(whole.alias("term"), flag.alias("is_whole_identifier"))
+            first = F.struct(whole.alias("term"), whole_identifier(word, parts).alias("is_whole_identifier"))
             rest = F.transform(F.filter(parts, lambda p: p != whole), lambda p: F.struct(p.alias("term"), F.lit(False).alias("is_whole_identifier")))
             return F.concat(F.array(first), rest)
 
@@ -47,3 +46,29 @@ def identifier_tokens(text: Column) -> Column:
         return F.when(word.rlike(CUT), once(components(word), emit)).otherwise(plain)
 
     return F.flatten(F.transform(words(F.coalesce(text, F.lit(""))), of))
+
+
+def whole_identifier(word: Column, parts: Column) -> Column:
+    """Whether a word is more than its only component."""
+    return (F.size(parts) > 0) & ~((F.size(parts) == 1) & (F.try_element_at(parts, F.lit(1)) == F.lower(word)))
+
+
+def terms(text: Column, mark: str = "") -> Column:
+    """array<string>: the terms of ``identifier_tokens`` in no order, ``mark`` before those of whole identifiers.
+
+    Words are lower-cased as one array; only those with a separator or hump are looked at again.
+    """
+
+    def of(found: Column) -> Column:
+        rest = F.transform(F.filter(found, lambda w: w.rlike(CUT)), lambda w: F.filter(components(w), lambda p: p != F.lower(w)))
+        flagged = lambda w: w.rlike(CUT) & once(components(w), lambda parts: whole_identifier(w, parts))
+        whole = (lambda w: F.when(flagged(w), F.concat(F.lit(mark), F.lower(w))).otherwise(F.lower(w))) if mark else (lambda w: F.lower(w))
+        return F.concat(F.transform(found, whole), F.flatten(rest))
+
+    return once(words(F.coalesce(text, F.lit(""))), of)
+
+
+def whole_identifiers(text: Column) -> Column:
+    """How many tokens of a text are whole identifiers."""
+    found = F.filter(words(F.coalesce(text, F.lit(""))), lambda w: w.rlike(CUT))
+    return F.size(F.filter(found, lambda w: once(components(w), lambda parts: whole_identifier(w, parts))))

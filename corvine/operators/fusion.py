@@ -57,6 +57,12 @@ def few(hits: DataFrame) -> DataFrame:
     return F.broadcast(hits) if hits.limit(MAX_BROADCAST_HITS + 1).count() <= MAX_BROADCAST_HITS else hits
 
 
+def held(hits: DataFrame) -> DataFrame:
+    """The same hits, worked out once and kept on the driver if they are few, so that what uses them twice doesn't search twice."""
+    rows = hits.limit(MAX_BROADCAST_HITS + 1).collect()
+    return hits.sparkSession.createDataFrame(rows, hits.schema) if len(rows) <= MAX_BROADCAST_HITS else hits
+
+
 def suppress_near_duplicates(hits: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.95, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Hits in order, without those as near as ``threshold`` to one kept before; hits without a vector stay.
 

@@ -96,3 +96,34 @@ def test_numbers_stay_even_beside_outliers(spark):
     found = passages.numbered(df.withColumn("tie", F.monotonically_increasing_id()), "n", "tie").orderBy("id").collect()
     assert [r.id for r in found] == list(range(3001)) and [r.n for r in found] == sorted(r.n for r in found)
     assert passages.numbered(df.limit(0), "n").count() == 0
+
+
+def test_terms_are_the_identifier_tokens(spark):
+    from corvine.functions.tokens import terms, whole_identifiers
+
+    for text in ("parseHTTPResponse plain a.b-cc parse", "snake_case ΟΔΟΣ'Α x -- cache. Plain", "", None):
+        want = tokens(spark, text)
+        row = spark.createDataFrame([(text,)], "t string").select(terms(F.col("t")).alias("bare"), terms(F.col("t"), " ").alias("marked"), whole_identifiers(F.col("t")).alias("n")).first()
+        assert sorted(row.bare) == sorted(t for t, _ in want) and sorted(row.marked) == sorted(" " * flag + t for t, flag in want) and row.n == sum(flag for _, flag in want)
+
+
+def test_search_scores_in_slices_without_a_shuffle_of_tokens(spark, monkeypatch):
+    rows = [(f"d{i}", f"StartEngineNow{i // 3} word{i % 3} " * (i % 4) + "common tail") for i in range(40)] + [("blank", ""), ("none", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(2)
+    asked = spark.createDataFrame([(7, "StartEngineNow1 tail"), (8, "word2 common"), (9, "absent"), (10, ""), (11, "StartEngineNow2 StartEngineNow3")], "query_id long, query string")
+    scores = lexical.scored(docs, asked)
+    flat = lambda found: sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(lexical, "MAX_BATCH_QUERIES", 2)
+    made = lexical.Search(docs, asked)
+    assert flat(made.top(3)) == flat(lexical.ranked(scores, 3)) and flat(made.pins()) == flat(lexical.pins(scores))
+    assert len(flat(made.pins())) == 2
+    plan = made.top(3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(doc" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_repeated_and_null_ids_are_counted_as_one_document(spark):
+    docs = spark.createDataFrame([(1, "fox fox hen"), (1, "fox"), (None, "fox hen"), (2, "hen")], "doc_id long, text string")
+    found = sorted(map(str, lexical.postings(lexical.tokenized(docs)).collect()))
+    assert found == sorted(map(str, docs.select(F.col("doc_id").alias("doc"), F.explode(F.split("text", " ")).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")).collect()))
+    asked = spark.createDataFrame([(0, "fox")], "query_id long, query string")
+    assert sorted(map(str, lexical.search(docs, asked).collect())) == sorted(map(str, lexical.ranked(lexical.scored(docs, asked), 10).collect()))
