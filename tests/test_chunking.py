@@ -69,3 +69,10 @@ def test_null_keys_stand_beside_large_ones(spark):
     rows = [(None, "Some words to cut. More words."), (9007199254740993, "Some words to cut."), (1, None)]
     found = c.chunk_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), lambda t: t.split(". "))
     assert sorted((str(r.doc_id), r.chunk_ord, r.text) for r in found.collect()) == [("9007199254740993", 0, "Some words to cut."), ("None", 0, "Some words to cut"), ("None", 1, "More words.")]
+
+
+def test_a_batch_of_long_texts_is_cut_before_python_holds_it(spark, monkeypatch):
+    batch = c.pa.RecordBatch.from_arrays([c.pa.array(range(6)), c.pa.array(["x" * 50, "y" * 60, None, "", "z" * 500, "w"])], ["doc_id", "text"])
+    monkeypatch.setattr(c, "SLICE_BYTES", 100)
+    parts = list(c.cut_batch(batch, 1))
+    assert c.pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and [len(p) for p in parts] == [1, 3, 1, 1]
